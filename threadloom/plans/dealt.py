@@ -9,14 +9,14 @@ from threadloom.session import table
 from threadloom.streaming.seen_store import repeated_deliveries
 
 _COUNTING = """
-SELECT target_memory_id, kind, lower(trim(event_id)) AS event_id, replacement_memory_id, try_cast(timestamp AS TIMESTAMPTZ) AS at
+SELECT target_memory_id, kind, lower(trim(event_id)) AS event_id, replacement_memory_id, try_cast(timestamp AS TIMESTAMPTZ) AS instant
 FROM memory_control_events
 WHERE try_cast(timestamp AS TIMESTAMPTZ) IS NOT NULL AND target_memory_id IN (SELECT id FROM processed_memories)
   AND (kind = 'forget' OR (len(evidence_refs) > 0 AND (kind = 'delete' OR (kind = 'correct' AND trim(coalesce(replacement_memory_id, '')) <> ''))))
 """
 _LAST = f"""
-SELECT target_memory_id, arg_max(kind, (at, event_id)) AS kind, max((at, event_id))[2] AS last_event_id,
-       arg_max(coalesce(replacement_memory_id, ''), (at, event_id)) AS replacement
+SELECT target_memory_id, arg_max(kind, (instant, event_id)) AS kind, max((instant, event_id))[2] AS last_event_id,
+       arg_max(coalesce(replacement_memory_id, ''), (instant, event_id)) AS replacement
 FROM ({_COUNTING}) GROUP BY target_memory_id
 """
 _STATUS = "CASE kind WHEN 'forget' THEN 'revoked' WHEN 'correct' THEN 'superseded' WHEN 'delete' THEN 'deleted' ELSE 'active' END"
