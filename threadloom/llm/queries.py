@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threadloom.llm import conversations as p1
+from threadloom.llm import leakage as p8
 from threadloom.session import table
 
 
@@ -16,7 +18,16 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.conversations(table(spark, sf_dir, "raw_events"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which test items leaked, and into how many documents."""
+    return p8_found(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 _KEPT = """
 SELECT * EXCLUDE (n) FROM (
