@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import conversations as p1
 from threadloom.llm import leakage as p8
+from threadloom.llm import privacy as p3
+from threadloom.operators.delivery import kept_copies
 from threadloom.session import table
 
 
@@ -18,6 +20,16 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.conversations(table(spark, sf_dir, "raw_events"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3.find(table(spark, sf_dir, "raw_events"))
+
+
+def p3_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept copies of all events with placeholders in their content."""
+    kept = kept_copies(table(spark, sf_dir, "raw_events"), F.col("content"))
+    return p3.sanitise(kept.select(F.col("event_key").alias("event_id"), "content"), "event_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -27,7 +39,7 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 _KEPT = """
 SELECT * EXCLUDE (n) FROM (
