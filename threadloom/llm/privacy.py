@@ -58,7 +58,7 @@ _STREET = r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Close|Row|Boulevard|Blvd|Dri
 _PART = r"(?:Flat|Apt|Apartment|Unit|Suite)\.?\s?#?\d+[A-Z]?,\s?"
 _TOWN = r"(?:,\s?(?:(?-i:[A-Z][A-Za-z'’-]+(?:\s[A-Z][A-Za-z'’-]+)?)|[A-Z'’-]+)(?:\s\d{4,6}(?!\d))?)?"
 ADDRESS = re.compile(
-    rf"(?<![\w-])(?:{_PART})?\d{{1,5}}[A-Z]?,?\s(?:[A-Z'’.-]+\s){{1,2}}{_STREET}\b\.?(?!-)(?:,\s?{_PART[:-5]})?{_TOWN}|(?<![\w-])P\.?\s?O\.?\s?Box\s?#?\d+{_TOWN}",
+    rf"(?<![\w-])(?:{_PART})?\d{{1,5}}[A-Z]?,?\s(?:[A-Z'’.-]+\s){{1,2}}{_STREET}\b\.?(?!-)(?:,\s?{_PART[:-4]})?{_TOWN}|(?<![\w-])P\.?\s?O\.?\s?Box\s?#?\d+{_TOWN}",
     re.I,
 )
 ADDRESS_ZH = re.compile("(?:[一-鿿]{2}[省市](?:[一-鿿]{2,3}[市区县镇])?|[一-鿿]{2}[区县镇])?[一-鿿]{2,3}(?:路|街|巷|弄|大道|胡同)[0-9]+(?:号|弄)(?:[0-9]+(?:号楼|栋|幢|座|单元|室|楼|层))*|邮政信箱[0-9]+号?|信箱[0-9]+号")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from threadloom.llm import conversations as p1
 from threadloom.llm import leakage as p8
+from threadloom.llm import neighbours as p4
 from threadloom.llm import privacy as p3
 from threadloom.operators.delivery import kept_copies
-from threadloom.session import table
+from threadloom.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,22 @@ def p3_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.sanitise(kept.select(F.col("event_key").alias("event_id"), "content"), "event_id")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = p4.memory_vectors(table(spark, sf_dir, "vector_index"), table(spark, sf_dir, "index_manifests"))
+    return p4.pairs(p4.nearest(rows, k=5, min_similarity=0.82))
+
+
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy search on the graph of ``embeddings``: the 10 best for every vec_id divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    rows = p4.nodes_of(vectors.withColumn("vec_id", F.col("vec_id").cast("string")), ["vec_id"], "vec_id", "embedding")
+    nodes = materialise(p4.with_vectors(rows), "nodes")
+    graph = p4.knn_graph(nodes.drop("owner_id"))
+    queries = nodes.where(F.col("owner_id").cast("bigint") % 100 == 0).select(F.col("owner_id").alias("query"), "dim", "vec")
+    found = p4.greedy_search(graph, nodes, queries)
+    return found.join(nodes.select("node", "owner_id"), "node").select("query", F.col("owner_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -39,7 +56,7 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p4_search": p4_search, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
 
 _KEPT = """
 SELECT * EXCLUDE (n) FROM (
