@@ -9,6 +9,7 @@ from threadloom.llm import conversations as p1
 from threadloom.llm import leakage as p8
 from threadloom.llm import neighbours as p4
 from threadloom.llm import privacy as p3
+from threadloom.llm import subjects as p9
 from threadloom.operators.delivery import kept_copies
 from threadloom.session import materialise, table
 
@@ -56,7 +57,16 @@ def p8_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("query_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p4_search": p4_search, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subjects"), table(spark, sf_dir, "subject_labels"))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents there are on each subject."""
+    return p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p4_search": p4_search, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_composition": p9_composition}
 
 _KEPT = """
 SELECT * EXCLUDE (n) FROM (
