@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import os
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -74,3 +77,9 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     path = scratch(spark, label)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast of ``value``, whose classes travel along; the result, called in a task, gives the value."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
