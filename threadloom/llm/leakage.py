@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import ship
+
 SHINGLE = 5
 #: Shortest leaking run, in words and in Chinese characters.
 RUN = {"word": 12, "char": 20}
@@ -195,11 +197,11 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, block_items: int = 5
 
     def search(chunk: list) -> None:
         items = [Item(*x) for x in chunk]
-        everything = spark.sparkContext.broadcast(_index(items, None))
-        counted = texts.mapInArrow(lambda b: _count(everything.value)(b), "kind string, gram string, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
+        everything = ship(spark, _index(items, None))
+        counted = texts.mapInArrow(lambda b: _count(everything())(b), "kind string, gram string, n bigint").groupBy("kind", "gram").agg(F.sum("n").alias("n"))
         rarity = {(r.kind, tuple(r.gram.split(" "))): r.n for r in counted.toLocalIterator()}  # at most one row an item shingle of the block
-        narrow = spark.sparkContext.broadcast((items, _index(items, rarity)))
-        done.append(texts.mapInArrow(lambda b: _search(*narrow.value)(b), "query_id string, doc_id bigint"))
+        narrow = ship(spark, (items, _index(items, rarity)))
+        done.append(texts.mapInArrow(lambda b: _search(*narrow())(b), "query_id string, doc_id bigint"))
 
     for row in rows.toLocalIterator():
         block.append((row.query_id, row.lang, row.passage))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import fold
 from threadloom.operators.delivery import rank
-from threadloom.session import materialise
+from threadloom.session import materialise, ship
 
 #: Bits of disclosure from which a term reveals a person.
 THRESHOLD = 4.0
@@ -239,10 +239,10 @@ def find(deliveries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     spark = deliveries.sparkSession
     statistics = materialise(term_statistics(deliveries.select("content")), "disclosure")
-    common = spark.sparkContext.broadcast(harmless(statistics, threshold))
+    common = ship(spark, harmless(statistics, threshold))
     keyed = deliveries.select(F.coalesce(fold(F.col("event_id")), F.concat(F.lit("\0delivery "), F.col("delivery_id").cast("string"))).alias("event_key"), rank().alias("rank"), "content")
     schema = "event_key string, rank struct<unsound:int,received_at:timestamp,delivery_id:bigint>, types array<string>, pairs array<struct<a:string,b:string>>"
-    scanned = keyed.mapInArrow(lambda b: _scan(common.value)(b), schema)
+    scanned = keyed.mapInArrow(lambda b: _scan(common())(b), schema)
     kept = scanned.groupBy("event_key").agg(F.min(F.struct("rank", "types", "pairs")).alias("kept")).select("event_key", "kept.types", "kept.pairs")
     kept = materialise(kept.where((F.size("types") > 0) | (F.size("pairs") > 0)), "scanned")
     pairs = kept.select("event_key", F.explode("pairs").alias("pair")).select("event_key", "pair.*")
@@ -273,16 +273,17 @@ def sanitise(texts: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFr
     """
     spark = texts.sparkSession
     statistics = materialise(term_statistics(texts.select("content")), "disclosure")
-    common = spark.sparkContext.broadcast(harmless(statistics, threshold))
-    scanned = materialise(texts.select(F.col(key).alias("event_key"), "content").mapInArrow(lambda b: _scan(common.value)(b), "event_key string, types array<string>, pairs array<struct<a:string,b:string>>").where("size(pairs) > 0").select("event_key", "pairs"), "scanned")
+    common = ship(spark, harmless(statistics, threshold))
+    scanned = materialise(texts.select(F.col(key).alias("event_key"), "content").mapInArrow(lambda b: _scan(common())(b), "event_key string, types array<string>, pairs array<struct<a:string,b:string>>").where("size(pairs) > 0").select("event_key", "pairs"), "scanned")
     pairs = scanned.select("event_key", F.explode("pairs").alias("pair")).select("event_key", "pair.*")
     named = pairs.join(_verdicts(pairs, statistics, threshold), ["a", "b"], "left_semi").groupBy("event_key").agg(F.collect_set(F.struct("a", "b")).alias("named"))
     schema = f"{key} string, content string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = common()
         for batch in batches:
             rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            clean = [_replace(t, {(p["a"], p["b"]) for p in n or ()}, common.value) for t, n in rows]
+            clean = [_replace(t, {(p["a"], p["b"]) for p in n or ()}, known) for t, n in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string())], names=[key, "content"])
 
     return texts.select(key, "content").join(named.withColumnRenamed("event_key", key), key, "left").mapInArrow(run, schema)

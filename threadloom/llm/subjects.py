@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import ship
+
 TOKEN = re.compile("[a-z]+|[0-9]+|[\\u3400-\\u9FFF]")
 SENTENCE = re.compile("(?<=[.!?;])\\s+|[\\n\\u3002\\uFF01\\uFF1F\\uFF1B]+")
 #: Weights of bigram, word and uniform estimates in the background model.
@@ -261,8 +263,8 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labell
     own = [{at[s] for s in r.own} for r in rows]
     parts = [sentences(r.text) for r in rows]
     vocab = vocabulary(parts, max_grams)
-    sent = spark.sparkContext.broadcast(vocab)
-    counted = documents.select("text").mapInArrow(lambda b: _background(sent.value)(b), "kind string, id bigint, n bigint").groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    sent = ship(spark, vocab)
+    counted = documents.select("text").mapInArrow(lambda b: _background(sent())(b), "kind string, id bigint, n bigint").groupBy("kind", "id").agg(F.sum("n").alias("n"))
     background = Models(vocab, 1)
     for r in counted.toLocalIterator():  # at most one row a word, history and bigram of the vocabulary
         getattr(background, r.kind)[r.id, 0] = r.n
@@ -273,10 +275,10 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labell
 
 def classify(documents: DataFrame, model: Classifier) -> DataFrame:
     """(doc_id, subject) of every document that is about a subject."""
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    sent = ship(documents.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = sent.value
+        judge = sent()
         for batch in batches:
             docs, found = [], []
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
