@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm import conversations as p1
+from threadloom.llm import frequency as p2
 from threadloom.llm import leakage as p8
 from threadloom.llm import neighbours as p4
+from threadloom.llm import packing as p7
 from threadloom.llm import privacy as p3
 from threadloom.llm import subjects as p9
 from threadloom.operators.delivery import kept_copies
-from threadloom.session import materialise, table
+from threadloom.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +24,20 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1.conversations(table(spark, sf_dir, "raw_events"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.tag_frequencies(table(spark, sf_dir, "processed_memories")).where("band <> 'useful'").select("normalized_tag", "band")
+
+
+def p2_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2.tag_frequencies(table(spark, sf_dir, "processed_memories"))
+
+
+def p2_tag_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags and sequences of up to three tags that stand next to each other in a memory."""
+    counts = p2.ngram_counts(p2.memory_tags(table(spark, sf_dir, "processed_memories")), "tags", sigma=3)
+    return counts.select(F.concat_ws(" ", "gram").alias("sequence"), F.size("gram").alias("size"), "occurrences", F.col("records").alias("memories"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.find(table(spark, sf_dir, "raw_events"))
 
@@ -39,13 +55,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy search on the graph of ``embeddings``: the 10 best for every vec_id divisible by 100."""
-    vectors = table(spark, sf_dir, "embeddings")
-    rows = p4.nodes_of(vectors.withColumn("vec_id", F.col("vec_id").cast("string")), ["vec_id"], "vec_id", "embedding")
-    nodes = materialise(p4.with_vectors(rows), "nodes")
-    graph = p4.knn_graph(nodes.drop("owner_id"))
-    queries = nodes.where(F.col("owner_id").cast("bigint") % 100 == 0).select(F.col("owner_id").alias("query"), "dim", "vec")
-    found = p4.greedy_search(graph, nodes, queries)
-    return found.join(nodes.select("node", "owner_id"), "node").select("query", F.col("owner_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string"))
+    index = p4.Vectors(p4.unit_vectors(vectors, ["vec_id"], "vec_id", "embedding"))
+    asked = index.members.where(F.col("owner_id").cast("bigint") % 100 == 0).join(index.nodes, "node")
+    found = p4.greedy_search(p4.knn_graph(index.nodes), index.nodes, asked.select(F.col("owner_id").alias("query"), "dim", "vec"))
+    return found.join(index.members, "node").select("query", F.col("owner_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.pack_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "token_budgets"))
+
+
+def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7.usage(p7_containers(spark, sf_dir))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +88,11 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_conversations": p1_conversations, "p3_found": p3_found, "p3_sanitised": p3_sanitised, "p4_found": p4_found, "p4_search": p4_search, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_composition": p9_composition}
+_ALL = (
+    p1_found, p1_conversations, p2_found, p2_tags, p2_tag_sequences, p3_found, p3_sanitised, p4_found, p4_search,
+    p7_containers, p7_usage, p8_found, p8_leaked_items, p9_found, p9_composition,
+)
+QUERIES = {query.__name__: query for query in _ALL}
 
 _KEPT = """
 SELECT * EXCLUDE (n) FROM (
@@ -89,7 +115,23 @@ t AS (SELECT session_id, turn_id, count_if(r = 'user') AS u, count_if(r = 'assis
 d AS (SELECT session_id, count(*) AS n, count(DISTINCT seq_id) AS seqs FROM c GROUP BY ALL)
 SELECT t.session_id FROM t JOIN d USING (session_id) GROUP BY t.session_id, d.n, d.seqs
 HAVING d.n = d.seqs AND min(u) > 0 AND min(a) > 0 AND max(stretches) = 1 AND max(back) = 0 AND max(missing) = 0"""
+_SPACE = "\\t\\n\\x0B\\f\\r \\x{0085}\\x{FEFF}\\p{Z}"
+_MEMORIES = f"""
+SELECT id, [t FOR t IN [regexp_replace(regexp_replace(lower(t), '[{_SPACE}]+', '-', 'g'), '^-+|-+$', '', 'g') FOR t IN coalesce(tags, [])] IF t <> ''] AS tags
+FROM (SELECT id, max(tags) AS tags FROM processed_memories WHERE id IS NOT NULL GROUP BY id)"""
+_TAGS = f"""
+SELECT tag AS normalized_tag, count(*) AS occurrences, count(DISTINCT id) AS memories,
+       CASE WHEN count(DISTINCT id) < 3 THEN 'rare'
+            WHEN count(DISTINCT id) > 0.05 * (SELECT count(DISTINCT id) FROM processed_memories) THEN 'common' ELSE 'useful' END AS band
+FROM (SELECT id, unnest(tags) AS tag FROM ({_MEMORIES})) GROUP BY tag"""
 ORACLES = {
+    "p2_found": f"SELECT normalized_tag, band FROM ({_TAGS}) WHERE band <> 'useful'",
+    "p2_tags": _TAGS,
+    "p2_tag_sequences": f"""
+SELECT sequence, size, count(*) AS occurrences, count(DISTINCT id) AS memories FROM (
+  SELECT id, s.size, array_to_string(tags[p.at:p.at + s.size - 1], ' ') AS sequence
+  FROM ({_MEMORIES}), (SELECT unnest([1, 2, 3]) AS size) s, LATERAL (SELECT unnest(range(1, len(tags) - s.size + 2)) AS at) p)
+GROUP BY ALL""",
     "p1_found": f"SELECT DISTINCT session_id FROM ({_COUNTING}) WHERE session_id NOT IN ({_SOUND})",
     "p1_conversations": f"""
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq_id) - 1 AS position, turn_id, seq_id, r AS role, event_key AS event_id
