@@ -93,7 +93,7 @@ def lexical_terms(text: Column) -> Column:
 
 
 #: Words that never become a keyword.
-KEYWORD_STOPS = ("the", "and", "for", "with", "this", "that", "from", "you", "are", "was", "have", "will", "not")
+KEYWORD_STOPS = ("the", "and", "for", "that", "this", "with", "have", "from", "我们", "这个", "一下", "可以", "就是")
 
 
 def keywords(text: Column, stops: tuple[str, ...] = KEYWORD_STOPS, limit: int = 12) -> Column:
@@ -102,7 +102,7 @@ def keywords(text: Column, stops: tuple[str, ...] = KEYWORD_STOPS, limit: int =
     han = F.regexp_extract_all(text, F.lit(r"\p{IsHan}{2,8}"), F.lit(0))
     words = F.concat(latin, han)
     if stops:
-        words = F.array_except(words, F.array(*map(F.lit, stops)))
+        words = F.filter(words, lambda w: ~w.isin(*stops))
     return F.slice(F.array_distinct(words), 1, limit)
 
 
