@@ -17,6 +17,7 @@ def instant(text: Column) -> Column:
     plain = F.regexp_replace(plain, r"([+-]\d{2})(\d{2})$", "$1:$2")
     plain = F.regexp_replace(plain, r"(T[^+-]*[+-]\d{2})$", "$1:00")
     plain = F.regexp_replace(plain, r"(\.\d{6})\d+", "$1")
+    plain = F.regexp_replace(plain, r"(T\d{2}:\d{2})(Z|[+-])", "$1:00$2")
     return F.when(F.trim(text).rlike(ISO), F.try_to_timestamp(plain))
 
 
