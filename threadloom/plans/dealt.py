@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.operators import change_feed
 from threadloom.session import table
-from threadloom.streaming.seen_store import repeated_deliveries
+from threadloom.streaming.seen_store import SeenStore, repeated_deliveries
 
 _COUNTING = """
 SELECT target_memory_id, kind, lower(trim(event_id)) AS event_id, replacement_memory_id, try_cast(timestamp AS TIMESTAMPTZ) AS instant
@@ -34,7 +34,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_deliveries(spark, f"{sf_dir}/raw_events.parquet")
 
 
-QUERIES = {"p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found}
+def stream_capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept copy of each event, as a stream of deliveries leaves it."""
+    path = f"{sf_dir}/raw_events.parquet"
+    deliveries = spark.read.parquet(path).select("event_id", "delivery_id", "received_at", "content", "content_hash")
+    store = SeenStore(spark)
+    store.run(path, deliveries.schema)
+    return store.resolve(deliveries).where("kept").select("event_key", "delivery_id")
+
+
+QUERIES = {"p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "stream_capture_dedupe": stream_capture_dedupe}
 
 ORACLES = {
     "p5_found": f"SELECT target_memory_id, {_STATUS} AS final_status, last_event_id FROM ({_LAST})",
@@ -42,6 +51,13 @@ ORACLES = {
 SELECT m.id AS memory_id, {_STATUS} AS current_status,
        CASE WHEN kind = 'correct' THEN replacement END AS replacement_memory_id, last_event_id
 FROM (SELECT DISTINCT id FROM processed_memories WHERE id IS NOT NULL) m LEFT JOIN ({_LAST}) l ON l.target_memory_id = m.id""",
+    "stream_capture_dedupe": """
+SELECT event_key, delivery_id FROM (
+  SELECT lower(trim(event_id)) AS event_key, delivery_id,
+         row_number() OVER (PARTITION BY lower(trim(event_id))
+           ORDER BY CASE WHEN lower(content_hash) = sha256(content) THEN 0 ELSE 1 END, received_at, delivery_id) AS n
+  FROM raw_events WHERE event_id IS NOT NULL)
+WHERE n = 1""",
     "p6_found": """
 SELECT event_id, delivery_id FROM (
   SELECT lower(trim(event_id)) AS event_id, delivery_id,

@@ -152,7 +152,7 @@ def recall_package(spark, sf_dir):
     disputed = decision_views.conflicts(archive._decisions(spark, sf_dir)).select("canonical_id")
     conflicting = recall.best_decision(hits, _decision_evidence(spark, sf_dir)).join(disputed, "canonical_id", "left_semi")
     projects = table(spark, sf_dir, "processed_memories").select("project_id").distinct()
-    asked = projects.crossJoin(F.broadcast(_queries(spark).select("query_id")))  # four literal queries
+    asked = projects.select("project_id", F.explode(F.array(*map(F.lit, ASKED))).alias("query_id"))
     return recall.classify(hits, asked, conflicting)
 
 
