@@ -120,7 +120,7 @@ def memory_tags(memories: DataFrame) -> DataFrame:
 def tag_frequencies(memories: DataFrame, rare: int = 3, common: float = 0.05) -> DataFrame:
     """(normalized_tag, occurrences, memories, band): band is rare (in fewer than ``rare`` memories), common (in more than
     ``common`` of all) or useful."""
-    total = memories.where("id IS NOT NULL").agg(F.countDistinct("id").alias("total"))
-    counts = ngram_counts(memory_tags(memories), "tags").crossJoin(F.broadcast(total))  # one row: the number of memories
-    band = F.when(F.col("records") < rare, "rare").when(F.col("records") > common * F.col("total"), "common").otherwise("useful")
+    total = memories.agg(F.countDistinct("id").alias("total")).first()["total"]
+    counts = ngram_counts(memory_tags(memories), "tags")
+    band = F.when(F.col("records") < rare, "rare").when(F.col("records") > common * F.lit(total), "common").otherwise("useful")
     return counts.select(F.col("gram")[0].alias("normalized_tag"), "occurrences", F.col("records").alias("memories"), band.alias("band"))

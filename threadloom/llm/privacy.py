@@ -228,8 +228,9 @@ def _verdicts(pairs: DataFrame, statistics: DataFrame, threshold: float) -> Data
     two = statistics.select(F.col("term").alias("b"), F.col("bits").alias("bits_b"), F.col("n").alias("n_b"))
     joined = distinct.join(one, "a", "left").join(two, "b", "left")
     alone = (F.col("b") == "") & (F.col("bits_a") >= threshold)
-    both = (F.col("b") != "") & (F.greatest(F.coalesce("bits_a", F.lit(-100.0)), F.coalesce("bits_b", F.lit(-100.0))) >= threshold)
-    return joined.where(alone | both).select("a", "b")
+    bits = F.coalesce("bits_a", F.lit(-100.0)), F.coalesce("bits_b", F.lit(-100.0))
+    both = (F.col("b") != "") & (F.greatest(*bits) >= threshold)
+    return joined.where(alone | both).select("a", "b", (alone | (F.least(*bits) >= threshold)).alias("sure"))
 
 
 def find(deliveries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -251,12 +252,13 @@ def find(deliveries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return formatted.unionByName(names).distinct()
 
 
-def _replace(text: str | None, named: set, common: frozenset) -> str | None:
+def _replace(text: str | None, named: dict, common: frozenset) -> str | None:
+    """Of overlapping names those go first of which both terms disclose."""
     if not text:
         return text
     text = readable(text)
     spans = formats(text)
-    for a, b, one, two in candidates(text, spans, common):
+    for a, b, one, two in sorted(candidates(text, spans, common), key=lambda c: (not named.get(c[2:], False), c[0])):
         if (one, two) in named and all(b <= x or y <= a for x, y, _ in spans):
             spans.append((a, b, "name"))
     out, at = [], 0
@@ -276,14 +278,14 @@ def sanitise(texts: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFr
     common = ship(spark, harmless(statistics, threshold))
     scanned = materialise(texts.select(F.col(key).alias("event_key"), "content").mapInArrow(lambda b: _scan(common())(b), "event_key string, types array<string>, pairs array<struct<a:string,b:string>>").where("size(pairs) > 0").select("event_key", "pairs"), "scanned")
     pairs = scanned.select("event_key", F.explode("pairs").alias("pair")).select("event_key", "pair.*")
-    named = pairs.join(_verdicts(pairs, statistics, threshold), ["a", "b"], "left_semi").groupBy("event_key").agg(F.collect_set(F.struct("a", "b")).alias("named"))
+    named = pairs.join(_verdicts(pairs, statistics, threshold), ["a", "b"]).groupBy("event_key").agg(F.collect_set(F.struct("a", "b", "sure")).alias("named"))
     schema = f"{key} string, content string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = common()
         for batch in batches:
             rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            clean = [_replace(t, {(p["a"], p["b"]) for p in n or ()}, known) for t, n in rows]
+            clean = [_replace(t, {(p["a"], p["b"]): p["sure"] for p in n or ()}, known) for t, n in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string())], names=[key, "content"])
 
     return texts.select(key, "content").join(named.withColumnRenamed("event_key", key), key, "left").mapInArrow(run, schema)

@@ -39,6 +39,8 @@ PRIOR, WORD_PRIOR, WORD_PART = 20.0, 200.0, 0.3
 TELLING = 16.0
 #: How many times as often as expected a telling word or bigram must occur under its subject, besides.
 LIFT = 3.0
+#: Part of its occurrences that does as well: with few subjects none can occur so much more often than expected.
+MOSTLY = 0.7
 #: Nats by which a sentence must speak for a subject.
 MARGIN = 1.0
 MOST = 2
@@ -130,7 +132,8 @@ class Models:
         with np.errstate(divide="ignore", invalid="ignore"):
             g = np.where(table > 0, table * np.log(table / expected), 0)
             lift = (table / np.maximum(expected, 1e-9)).max(axis=1)
-        return (2 * g.sum(axis=1) > TELLING) & (lift > LIFT)
+        most = table.max(axis=1) / np.maximum(table.sum(axis=1), 1)
+        return (2 * g.sum(axis=1) > TELLING) & ((lift > LIFT) | (most > MOSTLY))
 
     def settle(self) -> Models:
         """Marks what tells the subjects apart, once all counts are in."""
