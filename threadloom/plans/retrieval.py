@@ -162,7 +162,7 @@ def _views(spark, sf_dir):
 
 
 def why_rank(spark, sf_dir):
-    return recall.rank_topics(_views(spark, sf_dir)[0], "Database cache")
+    return recall.rank_topics(_views(spark, sf_dir)[0], "adapter")
 
 
 def staleness(spark, sf_dir):
@@ -393,7 +393,7 @@ LEFT JOIN (SELECT DISTINCT query_id, project_id FROM ({_BEST}) WHERE canonical_i
 SELECT project_id, canonical_id, topic, score, rank, rank = 1 AND score >= 60 AND score IS DISTINCT FROM next AS selected FROM (
   SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next FROM (
     SELECT project_id, canonical_id, topic, CASE WHEN name = q THEN 100 WHEN starts_with(name, q) OR starts_with(q, name) THEN 60 + overlap WHEN contains(name, q) OR contains(q, name) THEN 40 + overlap ELSE overlap * 10 END AS score
-    FROM (SELECT *, 'database cache' AS q, {_topic("topic")} AS name, len(list_intersect(['database', 'cache'], string_split({_topic("topic")}, ' '))) AS overlap FROM ({_PV}))) WHERE score > 0
+    FROM (SELECT *, 'adapter' AS q, {_topic("topic")} AS name, len(list_intersect(['adapter'], string_split({_topic("topic")}, ' '))) AS overlap FROM ({_PV}))) WHERE score > 0
   WINDOW o AS (PARTITION BY project_id ORDER BY score DESC, topic, canonical_id)) WHERE rank <= 8""",
     "staleness": f"""
 SELECT canonical_id, CASE WHEN us >= 0 THEN floor(us / 86400000000)::BIGINT END AS age_days,
