@@ -61,3 +61,16 @@ def test_ingest_captures_each_event_once(spark, tmp_path, again):
     assert sorted(r.event_key for r in stream.read().collect()) == ["a", "b"]
     view = stream.decision_views().collect()
     assert [(v.topic, v.events) for v in view] == [("database", 2)]
+
+
+def test_ingest_takes_late_events_and_better_copies(spark, tmp_path):
+    schema = "delivery_id bigint, event_id string, received_at timestamp, session_id string, project_id string, seq_id bigint, turn_id string, role string, timestamp string, content string, content_hash string, savepoint_status string, raw_ref string, schema_version int"
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    row = lambda d, e, at, t, h: (d, e, at, "s", "p", d, "t", "user", "2025-01-01T00:00:00Z", t, h, "complete", "r", 1)
+    now, old = datetime.datetime(2025, 6, 1), datetime.datetime(2025, 1, 1)
+    stream = Ingest(spark, f"{tmp_path}/out")
+    batches = [[row(1, "a", now, "dam", "0" * 64)], [row(2, "z", now, "zed", digest("zed"))], [row(3, "late", old, "late", digest("late")), row(4, "a", now, "whole", digest("whole"))], [row(5, "a", now, "worse", "0" * 64)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        stream.run(f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+    assert {r.event_key: r.content for r in stream.read().collect()} == {"a": "whole", "z": "zed", "late": "late"}
