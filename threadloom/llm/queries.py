@@ -58,7 +58,7 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string"))
     index = p4.Vectors(p4.unit_vectors(vectors, ["vec_id"], "vec_id", "embedding"))
     asked = index.members.where(F.col("owner_id").cast("bigint") % 100 == 0).join(index.nodes, "node")
-    found = p4.greedy_search(p4.knn_graph(index.nodes), index.nodes, asked.select(F.col("owner_id").alias("query"), "dim", "vec"))
+    found = p4.greedy_search(p4.knn_graph(index.nodes, fanout=10, rounds=None), index.nodes, asked.select(F.col("owner_id").alias("query"), "dim", "vec"))
     return found.join(index.members, "node").select("query", F.col("owner_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
