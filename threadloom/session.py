@@ -8,7 +8,7 @@ import os
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -70,12 +70,25 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Drops the shuffle files of each query that runs within as soon as it has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back, so that a lost executor costs
     only its own tasks."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.option("compression", codec).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
