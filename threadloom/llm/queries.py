@@ -13,7 +13,7 @@ from threadloom.llm import packing as p7
 from threadloom.llm import privacy as p3
 from threadloom.llm import subjects as p9
 from threadloom.operators.delivery import kept_copies
-from threadloom.session import table
+from threadloom.session import materialise, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,9 @@ def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy search on the graph of ``embeddings``: the 10 best for every vec_id divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string"))
     index = p4.Vectors(p4.unit_vectors(vectors, ["vec_id"], "vec_id", "embedding"))
-    asked = index.members.where(F.col("owner_id").cast("bigint") % 100 == 0).join(index.nodes, "node")
-    found = p4.greedy_search(p4.knn_graph(index.nodes, fanout=10, rounds=None), index.nodes, asked.select(F.col("owner_id").alias("query"), "dim", "vec"))
+    nodes = materialise(index.graph.nodes(), "nodes")
+    asked = index.members.where(F.col("owner_id").cast("bigint") % 100 == 0).join(nodes, "node")
+    found = p4.greedy_search(index.graph.lists(), nodes, asked.select(F.col("owner_id").alias("query"), "dim", "vec"))
     return found.join(index.members, "node").select("query", F.col("owner_id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
