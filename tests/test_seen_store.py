@@ -39,14 +39,33 @@ def test_kept_copy_rules(spark, tmp_path):
 def test_state_spans_batches_and_late_rows_are_looked_up(spark, tmp_path):
     first = [row(f"e{i}", i, i % 5) for i in range(40)]
     second = [row(f"e{i}", 100 + i, 200) for i in range(0, 40, 2)] + [row("new", 190, 400)]
+    third = [row(f"f{i}", 200 + i, 401) for i in range(8)]
     late = [row("e1", 300, -1), row("e2", 301, 0.5, sound=False), row("only-late", 302, -3), row("only-late", 303, -4)]  # long past the watermark
-    path = write(spark, tmp_path / "t", first, second, late)
-    store = SeenStore(spark, f"file://{tmp_path}/store", stretch="10 days", delay="1 day", trigger_bytes=1)
-    deliveries = spark.read.parquet(path)
-    store.run(path, deliveries.schema)
-    got = {(r.event_key, r.delivery_id) for r in store.resolve(deliveries).where("NOT kept").collect()}
-    assert got == brute(first + second + late)
-    assert store.dropped_late > 0
+    path = write(spark, tmp_path / "t", first, second, third, late)
+    store = SeenStore(spark, f"file://{tmp_path}/store", stretch_days=10, delay="1 day", trigger_bytes=1, buckets=2)
+    store.run(path, spark.read.parquet(path).schema)
+    assert {(r.event_key, r.delivery_id) for r in store.repeated().collect()} == brute(first + second + third + late)
+    assert store.read().where("verdict = 'late'").count() >= 3
+    held = {r.event_key: r.delivery_id for r in store.kept().collect()}
+    assert held["e1"] == 300 and held["e2"] == 2 and held["only-late"] == 303
+
+
+def test_only_the_state_decides(spark, tmp_path):
+    path = write(spark, tmp_path / "t", [row("a", 1, 0), row("a", 2, 1)], [row("a", 3, 2), row("b", 4, 3)])
+    empty = SeenStore(spark, f"file://{tmp_path}/none")
+    assert empty.repeated().count() == 0 and empty.kept().count() == 0
+    store = SeenStore(spark, f"file://{tmp_path}/store", trigger_bytes=1)
+    store.run(path, spark.read.parquet(path).schema)
+    assert {r.delivery_id for r in store.read().where("verdict = 'repeated'").collect()} == {2, 3}
+
+
+def test_better_copies_replace_what_was_kept(spark, tmp_path):
+    rows = [[row("a", 1, 0, sound=False)], [row("a", 2, 1, sound=False)], [row("a", 3, 2)], [row("a", 4, 3)]]
+    path = write(spark, tmp_path / "t", *rows)
+    store = SeenStore(spark, f"file://{tmp_path}/store", trigger_bytes=1)
+    store.run(path, spark.read.parquet(path).schema)
+    assert {(r.event_key, r.delivery_id) for r in store.repeated().collect()} == brute(sum(rows, []))
+    assert [r.delivery_id for r in store.kept().collect()] == [3]
 
 
 def test_run_again_adds_only_new_files(spark, tmp_path):
@@ -57,8 +76,8 @@ def test_run_again_adds_only_new_files(spark, tmp_path):
     write(spark, tmp_path / "t", [row("a", 2, 1), row("b", 3, 1)])
     store.run(path, schema)
     store.run(path, schema)
-    rows = {(r.event_key, r.delivery_id, r.kept) for r in store.resolve(spark.read.parquet(path)).collect()}
-    assert rows == {("a", 1, True), ("a", 2, False), ("b", 3, True)}
+    assert {(r.event_key, r.delivery_id) for r in store.repeated().collect()} == {("a", 2)}
+    assert {(r.event_key, r.delivery_id) for r in store.kept().collect()} == {("a", 1), ("b", 3)}
 
 
 def test_empty_table_and_one_event_with_most_deliveries(spark, tmp_path):

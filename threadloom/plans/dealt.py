@@ -35,12 +35,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_capture_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kept copy of each event, as a stream of deliveries leaves it."""
+    """The kept copy of each event that has an id, as a stream of deliveries leaves it."""
     path = f"{sf_dir}/raw_events.parquet"
     deliveries = spark.read.parquet(path).select("event_id", "delivery_id", "received_at", "content", "content_hash")
     store = SeenStore(spark)
     store.run(path, deliveries.schema)
-    return store.resolve(deliveries).where("kept").select("event_key", "delivery_id")
+    return store.kept().where("NOT startswith(event_key, '\\0')")
 
 
 QUERIES = {"p5_found": p5_found, "p5_current": p5_current, "p6_found": p6_found, "stream_capture_dedupe": stream_capture_dedupe}
