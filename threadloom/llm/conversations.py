@@ -6,9 +6,11 @@ Kahn's algorithm sorts the graph, ties broken by time. Messages that are left ov
 another one, or an answer before its question. A session without left-over messages is sound if every turn has a
 question and a reply.
 
-Sessions up to ``max_rows`` messages are sorted in the task that holds them, which streams through its partition one
-session at a time. Longer ones are never held in one task: their messages are range-partitioned by ``seq_id``, numbered
-by partition offsets, and each turn is checked by its first and last number, which finds the same cycles.
+Every session takes the same way, whatever its size. Its messages are numbered in ``seq_id`` order (``numbered``: range
+partitions and offsets) and cut into segments of ``SEGMENT`` messages; Kahn's algorithm sorts each segment in the task
+that holds it. Between segments the chain of ``seq_id`` is all there is, so a cycle over a cut is a turn that comes back
+after another turn, or asks again after an answer, across it: the segments give what they hold of each turn, and the
+turn's first and last number tell. No task holds more than a segment, and no session is judged by another rule.
 
 Defined results: messages without a session are left out; a session without a counting row is ``empty``; a null
 ``seq_id`` gives ``missing_seq``, a repeated one ``repeated_seq``; a null ``turn_id`` is a turn of its own; an empty
@@ -28,10 +30,11 @@ from pyspark.sql.window import Window
 from threadloom.functions.instants import instant, micros
 from threadloom.functions.text import fold, has_visible
 from threadloom.operators.delivery import kept_copies
+from threadloom.operators.numbering import numbered
 from threadloom.session import materialise
 
-VERDICTS = "session_id string, reason string, messages bigint"
-MESSAGES = "session_id string, position bigint, turn_id string, seq_id bigint, role string, event_id string"
+#: Messages that Kahn's algorithm sorts at a time.
+SEGMENT = 10_000
 
 
 def session_rows(deliveries: DataFrame) -> DataFrame:
@@ -104,129 +107,94 @@ def kahn(rows: list[tuple]) -> list[int]:
     return order
 
 
-def judge(rows: list[tuple]) -> tuple[str | None, list[int]]:
-    """Why a session's counting rows are no sound conversation, or None; and their order."""
-    if not rows:
-        return "empty", []
-    if any(r[0] is None for r in rows):
-        return "missing_seq", []
-    if len({r[0] for r in rows}) < len(rows):
-        return "repeated_seq", []
-    order = kahn(rows)
-    if len(order) < len(rows):
-        return "cycle", order
-    asked, answered = {r[1] for r in rows if r[2]}, {r[1] for r in rows if not r[2]}
-    return ("incomplete" if asked != answered else None), order
-
-
-def _sessions(messages: bool):
-    """Streams through a partition that is sorted by session; holds one session at a time."""
-
-    def emit(session, rows, names, out) -> None:
-        reason, order = judge(rows)
-        if not messages:
-            out.append((session, reason, len(rows)))
-        elif reason is None:
-            out.extend((session, p, rows[i][1], rows[i][0], "user" if rows[i][2] else "assistant", names[i]) for p, i in enumerate(order))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = (
-            pa.schema([("session_id", pa.string()), ("position", pa.int64()), ("turn_id", pa.string()), ("seq_id", pa.int64()), ("role", pa.string()), ("event_id", pa.string())])
-            if messages
-            else pa.schema([("session_id", pa.string()), ("reason", pa.string()), ("messages", pa.int64())])
-        )
-        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        current, rows, names, out = None, [], [], []
-        for batch in batches:
-            c = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
-            for session, seq, turn, role, counts, sent, event in zip(*(c[k] for k in ("session_id", "seq_id", "turn_id", "role", "counts", "sent_at", "event_id")), strict=True):
-                if session != current:
-                    if current is not None:
-                        emit(current, rows, names, out)
-                    current, rows, names = session, [], []
-                if counts:
-                    rows.append((seq, turn, role == "user", sent if sent is not None else 1 << 62))
-                    names.append(event)
-            if len(out) > 10_000:
-                yield pack(out)
-                out = []
-        if current is not None:
-            emit(current, rows, names, out)
-        if out:
-            yield pack(out)
-
-    return run
-
+SEGMENTS = (
+    "session_id string, segment bigint, messages bigint, missing bigint, repeated bigint, left bigint, first_seq bigint, last_seq bigint, "
+    "turn_id string, n bigint, asked bigint, first bigint, last bigint, last_asked bigint, first_answer bigint"
+)
+_SEGMENT_TYPES = [pa.string(), *[pa.int64()] * 7, pa.string(), *[pa.int64()] * 6]
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the partition and the running number within session and partition to sorted rows."""
-    from pyspark import TaskContext
 
-    part, current, n = TaskContext.get().partitionId(), None, 0
+def _segment(session: str, number: int, rows: list[tuple], out: list[tuple]) -> None:
+    """What a segment's rows (seq, turn, is_user, sent_at, position) tell: one row a turn, the first with the sums."""
+    seqs = [r[0] for r in rows if r[0] is not None]
+    repeated = len(seqs) - len(set(seqs))
+    missing = len(rows) - len(seqs)
+    left = 0 if missing or repeated else len(rows) - len(kahn([r[:4] for r in rows]))
+    turns: dict = {}
+    for _, turn, is_user, _, at in rows:
+        t = turns.get(turn)
+        if t is None:
+            t = turns[turn] = [0, 0, at, at, None, None]
+        t[0] += 1
+        t[3] = at
+        if is_user:
+            t[1] += 1
+            t[4] = at
+        elif t[5] is None:
+            t[5] = at
+    head = (len(rows), missing, repeated, left, seqs[0] if seqs else None, seqs[-1] if seqs else None)
+    for turn, t in turns.items():
+        out.append((session, number, *head, turn, *t))
+        head = (0, 0, 0, 0, None, None)
+
+
+def _judge_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Streams through a partition that is sorted by session, segment and position; holds one segment at a time."""
+    pack = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _SEGMENT_TYPES, strict=True)], names=[f.split()[0] for f in SEGMENTS.split(", ")])
+    current, rows, out = None, [], []
     for batch in batches:
-        numbers = []
-        for session in batch.column(batch.schema.get_field_index("session_id")).to_pylist():
-            n = n + 1 if session == current else 0
-            current = session
-            numbers.append(n)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(numbers), pa.int64()), pa.array(numbers, pa.int64())], names=[*batch.schema.names, "part", "number"])
-
-
-def _long_numbered(rows: DataFrame) -> DataFrame:
-    """Counting rows of long sessions with their position, by range partitions and offsets."""
-    counting = rows.where("counts AND seq_id IS NOT NULL").select("session_id", "turn_id", "seq_id", "role", "event_id", "sent_at")
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = counting.repartitionByRange(parts, "session_id", "seq_id", "sent_at", "event_id").sortWithinPartitions("session_id", "seq_id", "sent_at", "event_id")
-    schema = "session_id string, turn_id string, seq_id bigint, role string, event_id string, sent_at bigint, part bigint, number bigint"
-    numbered = materialise(spread.mapInArrow(_number, schema), "long-sessions")
-    sizes = numbered.groupBy("session_id", "part").count()  # at most one row a session and partition
-    before = Window.partitionBy("session_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("session_id", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return numbered.join(offsets, ["session_id", "part"]).withColumn("position", F.col("start") + F.col("number"))
-
-
-def _long_verdicts(rows: DataFrame) -> DataFrame:
-    """The verdicts of long sessions from distributed aggregates: the same reasons in the same order of precedence."""
-    counting = F.col("counts")
-    sizes = rows.groupBy("session_id").agg(F.count_if(counting).alias("messages"), F.count_if(counting & F.col("seq_id").isNull()).alias("missing"))
-    repeated = rows.where("counts AND seq_id IS NOT NULL").groupBy("session_id", "seq_id").count().where("count > 1").select("session_id").distinct().withColumn("repeated", F.lit(True))
-    user, answer = F.col("role") == "user", F.col("role") == "assistant"
-    turns = _long_numbered(rows).groupBy("session_id", "turn_id").agg(
-        F.count("*").alias("n"), F.count_if(user).alias("asked"), F.min("position").alias("first"), F.max("position").alias("last"), F.max(F.when(user, F.col("position"))).alias("last_asked"), F.min(F.when(answer, F.col("position"))).alias("first_answer")
-    )
-    broken = (F.col("last") - F.col("first") + 1 != F.col("n")) | F.coalesce(F.col("last_asked") > F.col("first_answer"), F.lit(False))
-    judged = turns.groupBy("session_id").agg(F.bool_or(broken).alias("broken"), F.bool_or((F.col("asked") == 0) | (F.col("asked") == F.col("n"))).alias("lacking"))
-    all_of = sizes.join(repeated, "session_id", "left").join(judged, "session_id", "left")
-    reason = F.when(F.col("messages") == 0, "empty").when(F.col("missing") > 0, "missing_seq").when(F.col("repeated"), "repeated_seq").when(F.col("broken"), "cycle").when(F.col("lacking"), "incomplete")
-    return all_of.select("session_id", reason.alias("reason"), "messages")
-
-
-def _routes(deliveries: DataFrame, max_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of the sessions that fit a task, and of the others, if there are any."""
-    rows = materialise(session_rows(deliveries), "sessions")
-    long = rows.groupBy("session_id").count().where(F.col("count") > max_rows).select("session_id")
-    if long.isEmpty():
-        return rows, None
-    return rows.join(long, "session_id", "left_anti"), rows.join(long, "session_id", "left_semi")
-
-
-def _sorted(rows: DataFrame) -> DataFrame:
-    return rows.repartition("session_id").sortWithinPartitions("session_id", "seq_id")
+        columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+        for session, number, seq, turn, role, sent, at in zip(*columns, strict=True):
+            if (session, number) != current:
+                if current is not None:
+                    _segment(*current, rows, out)
+                current, rows = (session, number), []
+            rows.append((seq, turn, role == "user", sent if sent is not None else 1 << 62, at))
+        if len(out) > 10_000:
+            yield pack(out)
+            out = []
+    if current is not None:
+        _segment(*current, rows, out)
+    if out:
+        yield pack(out)
 
 
-def verdicts(deliveries: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def _numbered(deliveries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of all sessions, and the counting ones with their ``position`` in the session."""
+    rows = materialise(session_rows(deliveries), "sessions")
+    counting = rows.where("counts").select("session_id", "turn_id", "seq_id", "role", "event_id", "sent_at")
+    return rows, materialise(numbered(counting, "session_id", ["seq_id", "sent_at", "event_id"], "position", 0), "numbered")
+
+
+def _judged(rows: DataFrame, counting: DataFrame, segment: int) -> DataFrame:
+    cut = counting.select("session_id", F.expr(f"position DIV {segment}").alias("segment"), "seq_id", "turn_id", "role", "sent_at", "position")
+    held = cut.repartition("session_id", "segment").sortWithinPartitions("session_id", "segment", "position").mapInArrow(_judge_segments, SEGMENTS)
+    told = materialise(held, "segments")
+    turns = told.groupBy("session_id", "turn_id").agg(
+        F.sum("n").alias("n"), F.sum("asked").alias("asked"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("last_asked").alias("last_asked"), F.min("first_answer").alias("first_answer"),
+        F.sum("messages").alias("messages"), F.sum("missing").alias("missing"), F.sum("repeated").alias("repeated"), F.sum("left").alias("left"),
+    )
+    over_cut = (F.col("last") - F.col("first") + 1 != F.col("n")) | F.coalesce(F.col("last_asked") > F.col("first_answer"), F.lit(False))
+    lacking = (F.col("asked") == 0) | (F.col("asked") == F.col("n"))
+    judged = turns.groupBy("session_id").agg(*[F.sum(c).alias(c) for c in ("messages", "missing", "repeated", "left")], F.bool_or(over_cut).alias("over_cut"), F.bool_or(lacking).alias("lacking"))
+    before = Window.partitionBy("session_id").orderBy("segment")
+    at_cut = told.where("messages > 0 AND first_seq IS NOT NULL").select("session_id", "segment", "first_seq", F.lag("last_seq").over(before).alias("before"))
+    same = at_cut.where("first_seq = before").select("session_id").distinct().withColumn("at_cut", F.lit(True))
+    all_of = rows.select("session_id").distinct().join(judged, "session_id", "left").join(same, "session_id", "left")
+    reason = (
+        F.when(F.col("messages").isNull(), "empty").when(F.col("missing") > 0, "missing_seq").when((F.col("repeated") > 0) | F.col("at_cut"), "repeated_seq")
+        .when((F.col("left") > 0) | F.col("over_cut"), "cycle").when(F.col("lacking"), "incomplete")
+    )
+    return all_of.select("session_id", reason.alias("reason"), F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+def verdicts(deliveries: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Every session with the reason to leave it out (null: sound) and its number of counting messages."""
-    short, long = _routes(deliveries, max_rows)
-    done = _sorted(short).mapInArrow(_sessions(messages=False), VERDICTS)
-    return done if long is None else done.unionByName(_long_verdicts(long))
+    return _judged(*_numbered(deliveries), segment)
 
 
-def conversations(deliveries: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def conversations(deliveries: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """The messages of the sound sessions in order, from position 0."""
-    short, long = _routes(deliveries, max_rows)
-    done = _sorted(short).mapInArrow(_sessions(messages=True), MESSAGES)
-    if long is None:
-        return done
-    sound = _long_verdicts(long).where("reason IS NULL").select("session_id")
-    kept = _long_numbered(long).join(sound, "session_id", "left_semi")
-    return done.unionByName(kept.select("session_id", "position", "turn_id", "seq_id", "role", "event_id"))
+    rows, counting = _numbered(deliveries)
+    sound = _judged(rows, counting, segment).where("reason IS NULL").select("session_id")
+    return counting.join(sound, "session_id", "left_semi").select("session_id", "position", "turn_id", "seq_id", "role", "event_id")
