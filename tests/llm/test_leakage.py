@@ -56,9 +56,22 @@ def test_empty_tables(spark):
     assert leaks(spark, ["a b c"], []) == set()
 
 
-def test_blocks_of_items_find_the_same(spark):
+def test_short_items_are_found_whole(spark):
+    items = [("four", "en", "alpha beta Gamma delta"), ("one", "en", "zeta!"), ("zh", "zh", "\u4e2d\u6587"), ("none", "en", "?!"), ("eleven", "en", " ".join(W[:11])), ("again", "en", "ZETA")]
+    docs = ["x alpha, beta gamma delta y", "alpha beta delta", "the zeta", "\u7528\u4e2d\u6587\u5199", " ".join(["a", *W[:11], "b"]), " ".join(W[:10])]
+    assert leaks(spark, docs, items) == {("four", 0), ("one", 2), ("again", 2), ("zh", 3), ("eleven", 4), ("eleven", 5)}
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     items = [(f"q{k}", "en", " ".join(W[k * 30 : k * 30 + 30])) for k in range(10)]
-    docs = [" ".join(W[k * 30 + 2 : k * 30 + 16]) for k in range(10)]
-    d = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
-    e = spark.createDataFrame(items, "query_id string, lang string, passage string")
-    assert {(r.query_id, r.doc_id) for r in lk.find_leaks(d, e, block_items=3).collect()} == {(f"q{k}", k) for k in range(10)}
+    docs = [" ".join(W[k * 30 + 2 : k * 30 + 16]) for k in range(10)] + ["none of them " + " ".join(W[350:])]
+    want = {(f"q{k}", k) for k in range(10)}
+    assert leaks(spark, docs, items) == want
+    monkeypatch.setattr(lk, "MOST_BITS", 64)
+    assert leaks(spark, docs, items) == want
+
+
+def test_equal_items_and_documents(spark):
+    passage = " ".join(W[:30])
+    got = leaks(spark, [passage] * 5, [("a", "en", passage), ("b", "en", passage.upper())])
+    assert got == {(q, d) for q in "ab" for d in range(5)}
