@@ -7,8 +7,10 @@ subject costs all models the same and belongs to none. Hard expectation maximisa
 documents keeps such sentences, and those of a document's other subject, out of a subject's model. A subject's share is
 its part of the document's words; which shares are accepted is calibrated on the labelled documents.
 
-Training takes at most ``max_labelled`` labelled documents (by a hash of their id) and ``max_grams`` n-grams; counts,
-background and classification cover all documents, whole texts.
+Training takes at most ``max_labelled`` labelled documents (by a hash of their id), with every word and bigram they hold;
+the driver sees counts, never texts. One in ``FOLDS`` of them is held out: models of the others give its shares, on
+which acceptance is calibrated, and the models that classify are then trained on all. Background and classification
+cover all documents, whole texts.
 
 Defined results: null, empty and wordless texts are about nothing; labels of unknown subjects or documents are unused;
 repeated labels count once; a document gets at most two subjects, of equal shares the first by name; without labels no
@@ -17,6 +19,7 @@ document gets any.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.session import ship
+from threadloom.session import materialise, ship
 
 TOKEN = re.compile("[a-z]+|[0-9]+|[\\u3400-\\u9FFF]")
 SENTENCE = re.compile("(?<=[.!?;])\\s+|[\\n\\u3002\\uFF01\\uFF1F\\uFF1B]+")
@@ -59,7 +62,7 @@ def sentences(text: str) -> list[list[str]]:
 @dataclass
 class Vocabulary:
     words: dict[str, int]
-    grams: dict[int, int]
+    grams: np.ndarray  # codes of bigrams, in order
 
     @property
     def size(self) -> int:
@@ -67,41 +70,19 @@ class Vocabulary:
 
     def encode(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word, previous word, bigram (-1: unknown), sentence and document of every token."""
-        word, sent, doc = [], [], []
-        n = 0
         get = self.words.get
-        for d, parts in enumerate(texts):
-            for tokens in parts:
-                word.extend([get(t, 0) for t in tokens])
-                sent.append(len(tokens))
-                doc.append(d)
-                n += 1
-        w = np.array(word, np.int64)
-        of = np.repeat(np.arange(n), np.array(sent, np.int64)) if n else np.array([], np.int64)
-        before = np.concatenate([[0], w[:-1]]) if len(w) else w
-        starts = np.concatenate([[0], np.cumsum(sent)[:-1]]).astype(np.int64) if n else np.array([], np.int64)
+        sent = np.array([len(tokens) for parts in texts for tokens in parts], np.int64)
+        w = np.array([get(t, 0) for parts in texts for tokens in parts for t in tokens], np.int64)
+        doc = np.repeat(np.arange(len(texts)), [len(parts) for parts in texts])
+        of = np.repeat(np.arange(len(sent)), sent)
+        before = np.concatenate([[0], w[:-1]]).astype(np.int64) if len(w) else w
         if len(w):
-            before[starts] = self.size  # the start of a sentence
+            before[np.cumsum(sent) - sent] = self.size  # the start of a sentence
         codes = before * self.size + w
-        known, at = np.unique(codes, return_inverse=True) if len(w) else (codes, codes)
-        ids = np.array([self.grams.get(int(c), -1) for c in known], np.int64)
-        return w, before, ids[at] if len(w) else at, of, np.array(doc, np.int64)
-
-
-def vocabulary(texts: list[list[list[str]]], max_grams: int) -> Vocabulary:
-    """Words and bigrams of two training documents at least, the most widespread first."""
-    spread: dict[str, int] = {}
-    for parts in texts:
-        for t in {t for s in parts for t in s}:
-            spread[t] = spread.get(t, 0) + 1
-    words = {t: i + 1 for i, t in enumerate(sorted((t for t, n in spread.items() if n > 1), key=lambda t: (-spread[t], t))[:max_grams])}
-    size = len(words) + 1
-    pairs: dict[int, int] = {}
-    for parts in texts:
-        for code in {b * size + a for s in parts for b, a in zip([size, *(words.get(t, 0) for t in s)], (words.get(t, 0) for t in s), strict=False)}:
-            pairs[code] = pairs.get(code, 0) + 1
-    grams = {c: i for i, c in enumerate(sorted((c for c, n in pairs.items() if n > 1), key=lambda c: (-pairs[c], c))[:max_grams])}
-    return Vocabulary(words, grams)
+        if not len(self.grams):
+            return w, before, np.full(len(w), -1), of, doc
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        return w, before, np.where(self.grams[at] == codes, at, -1), of, doc
 
 
 class Models:
@@ -113,10 +94,23 @@ class Models:
         self.history = np.zeros((vocab.size + 1, models), np.float32)
         self.gram = np.zeros((len(vocab.grams) + 1, models), np.float32)
 
-    def add(self, model: np.ndarray, word: np.ndarray, before: np.ndarray, gram: np.ndarray) -> None:
-        for table, rows in ((self.word, word), (self.history, before), (self.gram, np.where(gram < 0, len(self.gram) - 1, gram))):
-            k = table.shape[1]
-            table += np.bincount(rows * k + model, minlength=table.size).reshape(table.shape)
+    def counts(self, model: np.ndarray, word: np.ndarray, before: np.ndarray, gram: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each table, which entries the tokens add to, and how much."""
+        k = self.word.shape[1]
+        return [np.unique(rows * k + model, return_counts=True) for rows in (word, before, np.where(gram < 0, len(self.gram) - 1, gram))]
+
+    def add(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        for table, (at, n) in zip((self.word, self.history, self.gram), counts, strict=True):
+            table.reshape(-1)[at] += n.astype(np.float32)
+
+    def lean(self, keep: np.ndarray, vocab: Vocabulary) -> Models:
+        """The same models without the bigrams that have no say."""
+        out = Models.__new__(Models)
+        out.vocab, out.word, out.history = vocab, self.word, self.history
+        out.gram = np.concatenate([self.gram[:-1][keep], self.gram[-1:]])
+        out.telling_word = getattr(self, "telling_word", None)
+        out.telling_gram = None if out.telling_word is None else np.concatenate([self.telling_gram[:-1][keep], [False]])
+        return out
 
     def background(self, word: np.ndarray, before: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the first model: probability of each word, and of each word after the one before it."""
@@ -200,42 +194,110 @@ class Classifier:
         return [s for s in order[:MOST] if whole[s] > 0 and whole[s] >= least_whole and among[s] >= least_among]
 
 
-def train(vocab: Vocabulary, background: Models, parts: list, labels: list[set[int]], subjects: list[str], rounds: int = 4) -> Classifier:
-    """Models from labelled documents; acceptance is not calibrated yet."""
-    word, before, gram, of, doc = vocab.encode(parts)
-    k, n = len(subjects), len(doc)
-    allowed = np.zeros((len(parts), k), bool)
-    for d, own in enumerate(labels):
-        allowed[d, list(own)] = True
-    owner = np.where(allowed.sum(axis=1) == 1, allowed.argmax(axis=1), -1)[doc] if n else np.array([], int)
-    for turn in range(rounds + 1):
+    def lean(self) -> Classifier:
+        """The same classifier with only the bigrams that have a say: those that tell, or whose word does. A bigram that
+        is unknown otherwise counts as never seen, as it has no say."""
+        grams = self.vocab.grams
+        keep = self.models.telling_gram[:-1] | self.models.telling_word[grams % self.vocab.size]
+        vocab = Vocabulary(self.vocab.words, grams[keep])
+        return Classifier(self.subjects, vocab, self.models.lean(keep, vocab), self.background.lean(keep, vocab), self.least)
+
+
+#: One in so many labelled documents is held out for calibration.
+FOLDS = 5
+ENCODED = "doc_id bigint, own array<int>, held boolean, tokens string"
+
+
+def _texts(tokens: list[str]) -> list[list[list[str]]]:
+    return [[line.split(" ") for line in text.split("\n")] if text else [] for text in tokens]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lines = ["\n".join(map(" ".join, sentences(t))) for t in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(lines, pa.string())], names=["doc_id", "own", "held", "tokens"])
+
+
+def _packed(rows: DataFrame, work) -> list:
+    """What ``work`` gives for some hundred labelled documents at a time: small arrays, to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                yield pa.RecordBatch.from_pydict({"data": pa.array([pickle.dumps(work(batch.slice(a, 500)))], pa.binary())})
+
+    return [pickle.loads(r.data) for r in rows.mapInArrow(run, "data binary").toLocalIterator()]
+
+
+def vocabulary(labelled: DataFrame) -> Vocabulary:
+    """All words and bigrams of the labelled documents."""
+    spark = labelled.sparkSession
+    spoken = _packed(labelled, lambda b: {t for parts in _texts(b.column(3).to_pylist()) for tokens in parts for t in tokens})
+    words = {t: i + 1 for i, t in enumerate(sorted(set().union(*spoken)))}
+    sent = ship(spark, Vocabulary(words, np.zeros(0, np.int64)))
+
+    def codes(batch: pa.RecordBatch) -> np.ndarray:
+        vocab = sent()
+        w, before, _, _, _ = vocab.encode(_texts(batch.column(3).to_pylist()))
+        return np.unique(before * vocab.size + w)
+
+    return Vocabulary(words, np.unique(np.concatenate([*_packed(labelled, codes), np.zeros(0, np.int64)])))
+
+
+def train(labelled: DataFrame, vocab: Vocabulary, background: Models, subjects: list[str], held_out: bool, rounds: int = 3) -> Classifier:
+    """Models from labelled documents, or, with ``held_out``, from those that are not; acceptance is not calibrated yet.
+
+    Every round the tasks assign the sentences by the models so far and count; the driver adds the counts."""
+    k, rows = len(subjects), labelled.where("NOT held") if held_out else labelled
+    models = None
+    for _ in range(rounds + 1):
+        sent = ship(labelled.sparkSession, (vocab, background if models else None, models))
+
+        def count(batch: pa.RecordBatch, sent=sent) -> list:
+            vocab, behind, now = sent()
+            word, before, gram, of, doc = vocab.encode(_texts(batch.column(3).to_pylist()))
+            allowed = np.zeros((batch.num_rows, k), bool)
+            for d, own in enumerate(batch.column(1).to_pylist()):
+                allowed[d, own] = True
+            if now is None:
+                owner = np.where(allowed.sum(axis=1) == 1, allowed.argmax(axis=1), -1)[doc]
+            else:
+                n = len(doc)
+                scores = np.where(allowed[doc], _sums(now.gains(behind, word, before, gram), of, n) if n else np.zeros((0, k)), -np.inf)
+                owner = np.where(scores.max(axis=1) > MARGIN, scores.argmax(axis=1), -1)
+            use = owner[of] >= 0
+            return (now or Models(vocab, k)).counts(owner[of][use], word[use], before[use], gram[use])
+
+        told = _packed(rows, count)
         models = Models(vocab, k)
-        use = owner[of] >= 0
-        models.add(owner[of][use], word[use], before[use], gram[use])
+        for counts in told:
+            models.add(counts)
         models.settle()
-        if turn == rounds or not n:
-            break
-        scores = np.zeros((n, k))
-        cuts = [*np.searchsorted(of, np.arange(0, n, 20_000)), len(of)]
-        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            first = i * 20_000
-            size = min(n - first, 20_000)
-            scores[first : first + size] = _sums(models.gains(background, word[a:b], before[a:b], gram[a:b]), of[a:b] - first, size)
-        scores = np.where(allowed[doc], scores, -np.inf)
-        owner = np.where(scores.max(axis=1) > MARGIN, scores.argmax(axis=1), -1)
     return Classifier(subjects, vocab, models, background)
 
 
-def calibrate(model: Classifier, parts: list, labels: list[set[int]]) -> float:
-    """Sets the shares from which a subject is accepted to those with the best F1 on the labels; returns it."""
-    whole, among = model.shares(parts)
+def calibrate(model: Classifier, labelled: DataFrame) -> float:
+    """Sets the shares from which a subject is accepted to those with the best F1 on the held-out labels; returns it."""
+    sent, k = ship(labelled.sparkSession, model.lean()), len(model.subjects)
+
+    def shares(batch: pa.RecordBatch) -> tuple:
+        own = np.zeros((batch.num_rows, k), bool)
+        for d, labels in enumerate(batch.column(1).to_pylist()):
+            own[d, labels] = True
+        return (*sent().shares(_texts(batch.column(3).to_pylist())), own)
+
+    told = _packed(labelled.where("held"), shares)
+    if not told:
+        return 0.0
+    whole, among, own = (np.concatenate(c) for c in zip(*told, strict=True))
+    first = np.argsort(-whole, axis=1, kind="stable")[:, :MOST]
+    w, a, hit = (np.take_along_axis(x, first, axis=1) for x in (whole, among, own))
     best = (-1.0, model.least)
-    for w in np.arange(0.05, 0.51, 0.025):
-        for a in np.arange(0.1, 0.51, 0.025):
-            chosen = [set(model._chosen(x, y, w, a)) for x, y in zip(whole, among, strict=True)]
-            hit = sum(len(c & own) for c, own in zip(chosen, labels, strict=True))
-            f1 = 2 * hit / max(1, sum(map(len, chosen)) + sum(map(len, labels)))
-            best = max(best, (f1, (float(w), float(a))))
+    for least_whole in np.arange(0.05, 0.51, 0.025):
+        for least_among in np.arange(0.1, 0.51, 0.025):
+            chosen = (w > 0) & (w >= least_whole) & (a >= least_among)
+            f1 = 2 * int((chosen & hit).sum()) / max(1, int(chosen.sum()) + int(own.sum()))
+            best = max(best, (f1, (float(least_whole), float(least_among))))
     model.least = best[1]
     return best[0]
 
@@ -248,32 +310,35 @@ def _background(vocab: Vocabulary):
         for batch in batches:
             texts = [sentences(t) for t in batch.column(0).to_pylist() if t]
             word, before, gram, _, _ = vocab.encode(texts)
-            counts.add(np.zeros(len(word), int), word, before, gram)
-        for kind, table in (("word", counts.word), ("history", counts.history), ("gram", counts.gram)):
+            counts.add(counts.counts(np.zeros(len(word), np.int64), word, before, gram))
+        for kind, table in enumerate((counts.word, counts.history, counts.gram)):
             ids = np.flatnonzero(table[:, 0])
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(ids), pa.string()), "id": pa.array(ids), "n": pa.array(table[ids, 0].astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(ids), pa.int32()), "id": pa.array(ids), "n": pa.array(table[ids, 0].astype(np.int64))})
 
     return run
 
 
-def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_grams: int = 200_000) -> Classifier:
+def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> Classifier:
     spark = documents.sparkSession
     names = sorted(r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect())
-    at = {s: i for i, s in enumerate(names)}
-    known = labels.where(F.col("subject").isin(names) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.collect_set("subject").alias("own"))
-    chosen = known.join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_labelled)
-    rows = chosen.collect()
-    own = [{at[s] for s in r.own} for r in rows]
-    parts = [sentences(r.text) for r in rows]
-    vocab = vocabulary(parts, max_grams)
+    at = spark.createDataFrame(list(enumerate(names)), "at int, subject string")
+    known = labels.where("doc_id IS NOT NULL").join(F.broadcast(at), "subject").groupBy("doc_id").agg(F.collect_set("at").alias("own"))
+    bounded = known.join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_labelled)
+    held = (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(FOLDS)) == 0).alias("held")
+    spread = bounded.select("doc_id", "own", held, "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    labelled = materialise(spread.mapInArrow(_tokens, ENCODED), "labelled")
+    vocab = vocabulary(labelled)
     sent = ship(spark, vocab)
-    counted = documents.select("text").mapInArrow(lambda b: _background(sent())(b), "kind string, id bigint, n bigint").groupBy("kind", "id").agg(F.sum("n").alias("n"))
+    counted = documents.select("text").mapInArrow(lambda b: _background(sent())(b), "kind int, id bigint, n bigint").groupBy("kind", "id").agg(F.sum("n").alias("n"))
     background = Models(vocab, 1)
-    for r in counted.toLocalIterator():  # at most one row a word, history and bigram of the vocabulary
-        getattr(background, r.kind)[r.id, 0] = r.n
-    model = train(vocab, background, parts, own, names)
-    calibrate(model, parts, own)
-    return model
+    counts = counted.toArrow()  # at most one row a word, history and bigram of the labelled documents
+    kind, ids, n = (counts.column(i).to_numpy() for i in range(3))
+    background.add([(ids[kind == i], n[kind == i]) for i in range(3)])
+    trial = train(labelled, vocab, background, names, held_out=True)
+    calibrate(trial, labelled)
+    model = train(labelled, vocab, background, names, held_out=False)
+    model.least = trial.least
+    return model.lean()
 
 
 def classify(documents: DataFrame, model: Classifier) -> DataFrame:
