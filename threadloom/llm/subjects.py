@@ -323,7 +323,8 @@ def fit(documents: DataFrame, subjects: DataFrame, labels: DataFrame, max_labell
     names = sorted(r.subject for r in subjects.where("subject IS NOT NULL").select("subject").distinct().collect())
     at = spark.createDataFrame(list(enumerate(names)), "at int, subject string")
     known = labels.where("doc_id IS NOT NULL").join(F.broadcast(at), "subject").groupBy("doc_id").agg(F.collect_set("at").alias("own"))
-    bounded = known.join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id").orderBy(F.xxhash64("doc_id")).limit(max_labelled)
+    chosen = known.orderBy(F.xxhash64("doc_id")).limit(max_labelled)  # before the texts come to it
+    bounded = chosen.join(documents.select("doc_id", "text").where("text IS NOT NULL"), "doc_id")
     held = (F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(FOLDS)) == 0).alias("held")
     spread = bounded.select("doc_id", "own", held, "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     labelled = materialise(spread.mapInArrow(_tokens, ENCODED), "labelled")
