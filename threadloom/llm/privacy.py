@@ -169,7 +169,7 @@ def titled_han(text: str, family: frozenset) -> Iterator[tuple[int, int]]:
         start = m.start()
         for size in (3, 2, 1):
             a = start - size
-            if a >= 0 and text[a] in family and HAN.fullmatch(text, a, start):
+            if a >= 0 and (1, text[a]) in family and HAN.fullmatch(text, a, start):
                 yield a, m.end()
                 break
 
@@ -202,11 +202,10 @@ def candidates(text: str, spans: list[tuple[int, int, str]], common: frozenset,
     if not text.isascii():
         for run in HAN.finditer(text):
             for i in range(run.start(), run.end() - 1):
-                if text[i] in family:
-                    for size, given in ((1, 2), (1, 1), (2, 2)):
-                        end = i + size + given
-                        if end <= run.end() and free(i, end) and not text.startswith(SYSTEM_ZH, end):
-                            out.append((i, end, text[i : i + size], text[i + size : end]))
+                for size, given in ((1, 2), (1, 1), (2, 2)):
+                    end = i + size + given
+                    if (size, text[i]) in family and end <= run.end() and free(i, end) and not text.startswith(SYSTEM_ZH, end):
+                        out.append((i, end, text[i : i + size], text[i + size : end]))
     return out
 
 
@@ -290,10 +289,11 @@ def term_statistics(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
 
 def _known(statistics: DataFrame, threshold: float, most: int = COMMON) -> tuple[frozenset, frozenset]:
-    """The most frequent harmless words, and all characters that disclose a family name."""
+    """The most frequent harmless words, and (length, first character) of all that discloses a family name."""
     words = statistics.where("harmless").orderBy(F.desc("n"), "term").limit(most).select("term").collect()
-    family = statistics.where((F.length("term") == 1) & (F.col("family_bits") >= threshold)).select("term").collect()  # at most the characters of Unicode
-    return frozenset(r.term for r in words), frozenset(r.term for r in family)
+    # of family names of one and of two characters the first one: at most twice the characters of Unicode
+    family = statistics.where(F.col("family_bits") >= threshold).select(F.length("term").alias("size"), F.substring("term", 1, 1).alias("first")).distinct().collect()
+    return frozenset(r.term for r in words), frozenset((r["size"], r["first"]) for r in family)
 
 
 PROPOSED = "types array<string>, proposals array<struct<kind:string,a:string,b:string>>"
