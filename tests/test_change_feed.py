@@ -1,5 +1,7 @@
 import datetime
 
+import pytest
+
 from threadloom.operators import change_feed as cf
 
 FEED = "feed_id bigint, event_id string, kind string, target_memory_id string, replacement_memory_id string, evidence_refs array<string>, timestamp string, target string"
@@ -65,6 +67,27 @@ def test_tombstones_survive_older_changes_in_later_applies(spark, tmp_path):
     assert table.version() != before
 
 
+def test_a_second_writer_is_told(spark, tmp_path):
+    one, two = (cf.ChangeTable(spark, f"file://{tmp_path}/t", buckets=2) for _ in range(2))
+    one.apply(spark.createDataFrame([("x", "upsert", 1, "a", "1")], cf.CHANGE))
+    read = two.version()
+    one.apply(spark.createDataFrame([("y", "upsert", 1, "b", "1")], cf.CHANGE))
+    two.version = lambda: read  # it has read before the other published
+    with pytest.raises(cf.Conflict):
+        two.apply(spark.createDataFrame([("z", "upsert", 1, "c", "1")], cf.CHANGE))
+    assert {r.target for r in one.read().collect()} == {"x", "y"}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    table = cf.ChangeTable(spark, f"file://{tmp_path}/t", buckets=16)
+    table.apply(spark.createDataFrame([(f"k{i}", "upsert", 1, "a", "1") for i in range(200)], cf.CHANGE))
+    before = table.version()[1]
+    table.apply(spark.createDataFrame([("k7", "upsert", 2, "a", "2")], cf.CHANGE))
+    after = table.version()[1]
+    assert len(before) == len(after) == 16 and sum(before[b] != after[b] for b in before) == 1
+    assert {r.target: r.payload for r in table.read().collect()} == {f"k{i}": "2" if i == 7 else "1" for i in range(200)}
+
+
 def test_one_key_with_most_changes_against_brute_force(spark):
     import random
 

@@ -3,7 +3,7 @@
 Changes are hashed by key into buckets. Each bucket is an embedded DuckDB table with a primary key; a change is an
 upsert that takes effect only where its sequence (instant, change id) is greater than the stored one. Deletes stay as
 tombstones, so that an older change which arrives later cannot bring a key back. Buckets export their rows into a
-staging folder, which becomes the table's next version by one rename of a pointer.
+staging folder; one pointer, which only one writer can create, makes them the table's next version.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.instants import instant, micros
 from threadloom.functions.text import fold
-from threadloom.session import scratch
+from threadloom.session import materialise, scratch
 
 CHANGE = "target string, op string, sequence bigint, change_id string, payload string"
 STATE = CHANGE + ", deleted boolean"
@@ -45,7 +46,7 @@ def _bucket(delete_op: str, memory: str):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        db = duckdb.connect(config={"memory_limit": memory, "threads": 1, "preserve_insertion_order": False})
+        db = duckdb.connect(config={"memory_limit": memory, "threads": 1, "preserve_insertion_order": False, "temp_directory": ""})
         db.execute("CREATE TABLE state (target VARCHAR PRIMARY KEY, op VARCHAR, sequence BIGINT, change_id VARCHAR, payload VARCHAR, deleted BOOLEAN)")
         for batch in batches:
             incoming = pa.Table.from_batches([batch])  # noqa: F841 (DuckDB reads it by name)
@@ -57,9 +58,18 @@ def _bucket(delete_op: str, memory: str):
     return apply
 
 
+class Conflict(RuntimeError):
+    """Another writer has published a version since the one that was read."""
+
+
 @dataclass
 class ChangeTable:
-    """A table of current rows at ``root``, versioned; readers follow the pointer and never see half a version."""
+    """A table of current rows at ``root``, versioned; readers follow the pointer and never see half a version.
+
+    A version is a pointer, numbered by the successor of the version that was read, which names the folder of each
+    bucket. An apply reads and writes only the buckets that its changes touch; a pointer of a number that exists is a
+    conflict, and nothing is published. ``buckets`` is fixed for the life of the table; a bucket must fit
+    ``bucket_memory``, as DuckDB is given no folder to spill to."""
 
     spark: SparkSession
     root: str
@@ -72,39 +82,54 @@ class ChangeTable:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
+    def version(self) -> tuple[int, dict[int, str]]:
+        """The number of the current version, 0 before the first, and the folder of each of its buckets."""
         jvm, fs = self._fs()
-        names = [s.getPath().getName() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/current-*")) or []]
-        return max(names).split("-", 2)[2] if names else None
+        found = sorted((s.getPath().getName(), s.getPath()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/current-*")) or [])
+        if not found:
+            return 0, {}
+        name, path = found[-1]
+        stream = fs.open(path)
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return int(name.split("-")[1]), {int(b): at for b, at in json.loads(text).items()}
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(STATE).parquet(*folders) if folders else self.spark.createDataFrame([], STATE)
 
     def read(self) -> DataFrame:
         """The current state, tombstones included; empty before the first apply."""
-        at = self.version()
-        return self.spark.read.schema(STATE).parquet(f"{self.root}/v-{at}") if at else self.spark.createDataFrame([], STATE)
+        return self._rows([f"{self.root}/{at}" for _, at in sorted(self.version()[1].items())])
 
     def apply(self, changes: DataFrame, salts: int = 16) -> DataFrame:
         """Applies ``changes`` (target, op, sequence, change_id, payload) and returns the new state.
 
         Applying the same changes again, in any order or split, gives the same state.
         """
-        before = self.read().select("target", "op", "sequence", "change_id", "payload")
-        rows = thin(changes, salts).unionByName(before)
-        done = rows.repartition(self.buckets, "target").mapInArrow(_bucket(self.delete_op, self.bucket_memory), STATE)
-        new = uuid.uuid4().hex
-        done.write.parquet(f"{self.root}/v-{new}")  # staged: no pointer names it yet
-        self._publish(new)
+        number, folders = self.version()
+        bucket = F.pmod(F.xxhash64("target"), F.lit(self.buckets)).cast("int").alias("bucket")
+        fresh = materialise(thin(changes, salts).select("*", bucket), "changes")
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        before = self._rows([f"{self.root}/{folders[b]}" for b in touched if b in folders]).drop("deleted").select("*", bucket)
+        new = f"v-{uuid.uuid4().hex}"
+        done = fresh.unionByName(before).repartitionById(self.buckets, "bucket").drop("bucket").mapInArrow(_bucket(self.delete_op, self.bucket_memory), STATE)
+        done.select("*", bucket).write.partitionBy("bucket").parquet(f"{self.root}/{new}")  # staged: no pointer names it yet
+        self._publish(number + 1, folders | {b: f"{new}/bucket={b}" for b in touched})
         return self.read()
 
-    def _publish(self, new: str) -> None:
+    def _publish(self, number: int, folders: dict[int, str]) -> None:
         jvm, fs = self._fs()
-        hadoop = jvm.org.apache.hadoop.fs.Path
-        count = len(fs.globStatus(hadoop(f"{self.root}/current-*")) or [])
-        staged = hadoop(f"{self.root}/.staged-{new}")
+        hadoop = jvm.org.apache.hadoop.fs
+        staged, pointer = hadoop.Path(f"{self.root}/.staged-{uuid.uuid4().hex}"), hadoop.Path(f"{self.root}/current-{number:08d}")
         out = fs.create(staged)
-        out.writeBytes(json.dumps({"version": new}))
+        out.writeBytes(json.dumps(folders))
         out.close()
-        if not fs.rename(staged, hadoop(f"{self.root}/current-{count:08d}-{new}")):
-            raise RuntimeError("the new version could not be published")
+        nothing = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
+        try:  # unlike that of a FileSystem, this rename never replaces a file
+            hadoop.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, pointer, nothing)
+        except Py4JJavaError as error:
+            fs.delete(staged, False)
+            raise Conflict(f"version {number} of {self.root} was published by another writer") from error
 
 
 #: What a control event does to its memory.
