@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import utf16_slice
+
 #: The first kind whose keywords occur is the kind of a message.
 KINDS = {
     "correction": "不是这个意思|这条不对|纠正|correct(?:ion)?",
@@ -49,7 +51,7 @@ def kind(text: Column) -> Column:
 
 def topic(text: Column) -> Column:
     latin = F.regexp_extract(F.lower(text), "[a-z][a-z0-9_-]{2,}", 0)
-    out = F.when(latin != "", latin).otherwise(F.substring(text, 1, 32))
+    out = F.when(latin != "", latin).otherwise(utf16_slice(text, 32))
     for name, patterns in reversed(TOPICS.items()):
         hit = has(text, patterns[0])
         for p in patterns[1:]:

@@ -60,6 +60,14 @@ def normalize_text(text: Column) -> Column:
     return F.regexp_replace(strip(text), f"[{SPACE}]+", " ")
 
 
+def utf16_slice(text: Column, size: int) -> Column:
+    """The first ``size`` UTF-16 units: a character beyond the basic plane counts twice, and where only its first half
+    would fit, U+FFFD stands for it, as it does when such a text is written."""
+    wide = F.regexp_replace(text, "([\\x{10000}-\\x{10FFFF}])", "$1\u0001")
+    cut = F.regexp_replace(F.substring(wide, 1, size), "[\\x{10000}-\\x{10FFFF}]$", "\ufffd")
+    return F.when(text.rlike("[\\x{10000}-\\x{10FFFF}]"), F.regexp_replace(cut, "([\\x{10000}-\\x{10FFFF}])\u0001", "$1")).otherwise(F.substring(text, 1, size))
+
+
 def term_key(term: Column) -> Column:
     """How two spellings of a term are held equal: lower case, hyphens and white space as one blank."""
     return strip(F.regexp_replace(F.lower(normalize_text(term)), f"[-{SPACE}]+", " "))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from threadloom.functions import decisions
 from threadloom.functions.instants import instant
-from threadloom.functions.text import keywords, normalize_text, sha256_id
+from threadloom.functions.text import keywords, normalize_text, sha256_id, utf16_slice
 
 #: Limits of a processing run.
 POLICY = {"threshold_bytes": 51_200, "max_wait_minutes": 30, "max_runs_per_hour": 4, "max_items": 100, "max_tokens": 16_000, "min_characters": 20}
@@ -53,7 +53,7 @@ def memories(events: DataFrame) -> DataFrame:
     worth = ~((F.col("role") == "assistant") & ~explicit & (F.length("clean") < POLICY["min_characters"]) & ~durable)
     return rows.where(worth).select(
         sha256_id("mem_", 24, "event_key").alias("memory_id"), "project_id", F.coalesce("kind", F.lit("conversation")).alias("type"),
-        F.substring("clean", 1, 80).alias("title"), F.substring("clean", 1, 1000).alias("summary"), keywords(F.col("clean")).alias("tags"),
+        utf16_slice(F.col("clean"), 80).alias("title"), utf16_slice(F.col("clean"), 1000).alias("summary"), keywords(F.col("clean")).alias("tags"),
         F.col("event_key").alias("source_event"), F.when(explicit, 1.0).otherwise(0.65).alias("confidence"),
         F.when(explicit, "user_explicit").otherwise("agent_inferred").alias("source"), "sensitivity", F.col("timestamp").alias("created_at"),
     )

@@ -127,6 +127,16 @@ _any = lambda t, ps: " OR ".join(_hit(t, p) for p in ps.values())
 _names = lambda t, ps: "concat_ws(',', " + ", ".join(f"CASE WHEN {_hit(t, p)} THEN '{n}' END" for n, p in ps.items()) + ")"
 
 
+_ASTRAL = "[\\x{10000}-\\x{10FFFF}]"
+
+
+def utf16_sql(t: str, n: int) -> str:
+    """The first ``n`` UTF-16 units of ``t``."""
+    wide = f"regexp_replace({t}, '({_ASTRAL})', '\\1' || chr(1), 'g')"
+    cut = f"regexp_replace(substring({wide}, 1, {n}), '{_ASTRAL}$', chr(65533))"
+    return f"regexp_replace({cut}, '({_ASTRAL})' || chr(1), '\\1', 'g')"
+
+
 def level_sql(t: str) -> str:
     return f"CASE WHEN {_any(t, _SECRETS)} THEN 'secret' WHEN {_any(t, _SENSITIVE)} THEN 'sensitive' ELSE 'normal' END"
 
@@ -153,7 +163,7 @@ def _q(p: str) -> str:
 
 _KIND = "CASE " + " ".join(f"WHEN {_hit('clean', _q(p))} THEN '{n}'" for n, p in decisions.KINDS.items()) + " END"
 _TOPIC = "CASE " + " ".join("WHEN " + " AND ".join(_hit("clean", _q(p)) for p in ps) + f" THEN '{n}'" for n, ps in decisions.TOPICS.items())
-_TOPIC += " WHEN regexp_extract(lower(clean), '[a-z][a-z0-9_-]{2,}') <> '' THEN regexp_extract(lower(clean), '[a-z][a-z0-9_-]{2,}') ELSE substring(clean, 1, 32) END"
+_TOPIC += " WHEN regexp_extract(lower(clean), '[a-z][a-z0-9_-]{2,}') <> '' THEN regexp_extract(lower(clean), '[a-z][a-z0-9_-]{2,}') ELSE " + utf16_sql("clean", 32) + " END"
 _ALIASES = "concat_ws(',', " + ", ".join(f"CASE WHEN {_hit('clean', _q(p))} THEN '{','.join(n)}' END" for p, n in decisions.ALIASES.items()) + ")"
 _STOPS = "[" + ", ".join(f"'{w}'" for w in text.KEYWORD_STOPS) + "]"
 _WORDS = rf"list_concat(regexp_extract_all(lower(clean), '[a-z][a-z0-9_-]{{2,}}'), regexp_extract_all(clean, '\p{{Han}}{{2,8}}'))"
@@ -166,7 +176,7 @@ FROM (SELECT * REPLACE (CASE WHEN level = 'secret' THEN {_redact_sql("content")}
       WHERE r IN ('user', 'assistant', 'system') AND content IS NOT NULL)"""
 _EXPLICIT = f"(role = 'user' AND {_hit('content', _q(decisions.EXPLICIT))})"
 _MEMORIES = f"""
-SELECT 'mem_' || sha256(event_key)[1:24] AS memory_id, project_id, coalesce(kind, 'conversation') AS type, substring(clean, 1, 80) AS title, substring(clean, 1, 1000) AS summary,
+SELECT 'mem_' || sha256(event_key)[1:24] AS memory_id, project_id, coalesce(kind, 'conversation') AS type, {utf16_sql("clean", 80)} AS title, {utf16_sql("clean", 1000)} AS summary,
        {_TAGS} AS tags, event_key AS source_event, CASE WHEN {_EXPLICIT} THEN 1.0::DOUBLE ELSE 0.65::DOUBLE END AS confidence,
        CASE WHEN {_EXPLICIT} THEN 'user_explicit' ELSE 'agent_inferred' END AS source, sensitivity, timestamp AS created_at
 FROM (SELECT *, {_KIND} AS kind FROM ({EVENTS})) WHERE sensitivity <> 'secret'
