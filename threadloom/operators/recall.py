@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,52 @@ from threadloom.functions.instants import instant
 from threadloom.functions.text import normalize_topic
 
 
+#: What a query says that asks for reasons or for the current state, and what a text says that gives reasons.
+ASKS_WHY = "为什么|原因|理由|why|reason"
+ASKS_NOW = "当前|现在|目前|current|currently|now"
+GIVES_REASON = "因为|由于|(?<=[A-Za-z0-9_])因|because|reason|cost|complexity|constraint"
+
+
+def _says(text: str, pattern: str) -> Column:
+    return F.coalesce(F.col(text).rlike(f"(?i)(?:{pattern})"), F.lit(False))
+
+
+def _if_any(hits: DataFrame, asked: Column, flag: Column) -> DataFrame:
+    """Where a query asks for it, only the hits with ``flag``, if there are any. A query's hits of a project are few."""
+    mine = Window.partitionBy("query_id", "project_id")
+    marked = hits.withColumn("_flag", flag).withColumn("_any", F.bool_or("_flag").over(mine))
+    return marked.where(~asked | F.col("_flag") | ~F.col("_any")).drop("_flag", "_any")
+
+
+def with_reasons(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """Of the hits (query_id, project_id, snippet) of queries that ask why, those that give a reason, if any do."""
+    asked = hits.join(F.broadcast(queries.select("query_id", _says("query", ASKS_WHY).alias("_asked"))), "query_id")
+    return _if_any(asked, F.col("_asked"), _says("snippet", GIVES_REASON)).drop("_asked")
+
+
+def with_current_evidence(hits: DataFrame, best: DataFrame, current: DataFrame, queries: DataFrame) -> DataFrame:
+    """Of the hits (query_id, project_id, memory_id, source_events) of queries that ask why or what holds now, those that
+    cite the current evidence of the decision behind the answer, if any do.
+
+    ``best`` (query_id, project_id, canonical_id), ``current`` (canonical_id, event_key).
+    """
+    evidence = best.join(current, "canonical_id").select("query_id", "project_id", "event_key")
+    cited = hits.select("query_id", "project_id", "memory_id", F.explode("source_events").alias("s")).withColumn("event_key", F.lower(F.trim("s")))
+    citing = cited.join(evidence, ["query_id", "project_id", "event_key"]).select("query_id", "project_id", "memory_id").distinct().withColumn("_cites", F.lit(True))
+    asked = hits.join(F.broadcast(queries.select("query_id", _says("query", f"{ASKS_WHY}|{ASKS_NOW}").alias("_asked"))), "query_id")
+    marked = asked.join(citing, ["query_id", "project_id", "memory_id"], "left")
+    return _if_any(marked, F.col("_asked"), F.coalesce("_cites", F.lit(False))).drop("_asked", "_cites")
+
+
+def candidates(answers: DataFrame, registry: DataFrame, months: DataFrame, most: int = 8) -> DataFrame:
+    """What may be asked instead where nothing was found: (query_id, project_id, kind, value, rank) of the project's most
+    used tags and latest months."""
+    order = Window.partitionBy("project_id").orderBy(F.desc("usage_count"), "tag")
+    tags = registry.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("project_id", F.lit("tag").alias("kind"), F.col("tag").alias("value"), "rank")
+    offered = tags.unionByName(months.select("project_id", F.lit("month").alias("kind"), F.col("month").alias("value"), "rank"))
+    return answers.where("hits = 0").select("query_id", "project_id").join(offered, "project_id")
+
+
 def within_characters(hits: DataFrame, budget: int) -> DataFrame:
     """Hits (query_id, project_id, rank, memory_id, snippet) in order of rank as far as ``budget`` characters go; the one
     that exceeds it is cut, and says so. A query's hits of a project are few: the search has limited them."""
@@ -33,11 +79,11 @@ def best_decision(hits: DataFrame, decisions: DataFrame) -> DataFrame:
 def classify(hits: DataFrame, asked: DataFrame, conflicting: DataFrame) -> DataFrame:
     """One row per query and project of ``asked``: how well the hits answer.
 
-    ``hits`` (query_id, project_id, tier), ``conflicting`` (query_id, project_id): where the decision behind is disputed.
+    ``hits`` (query_id, project_id, tier; 0 for messages that were not processed), ``conflicting`` (query_id, project_id): where the decision behind is disputed.
     """
     best = hits.groupBy("query_id", "project_id").agg(F.max("tier").alias("tier"), F.count("*").alias("hits"))
     joined = asked.join(best, ["query_id", "project_id"], "left").join(conflicting.select("query_id", "project_id").distinct().withColumn("disputed", F.lit(True)), ["query_id", "project_id"], "left")
-    answer = F.when(F.col("tier").isNull(), "no_reliable_memory_found").when(F.col("disputed"), "conflicting_memories_found").when(F.col("tier") == 3, "exact_record_found").when(F.col("tier") == 2, "similar_record_found").otherwise("possible_match")
+    answer = F.when(F.col("tier").isNull(), "no_reliable_memory_found").when(F.col("disputed"), "conflicting_memories_found").when(F.col("tier") == 3, "exact_record_found").when(F.col("tier") == 2, "similar_record_found").when(F.col("tier") == 0, "unprocessed_raw_match").otherwise("possible_match")
     return joined.select("query_id", "project_id", answer.alias("classification"), F.coalesce("hits", F.lit(0)).alias("hits"))
 
 

@@ -74,15 +74,37 @@ def stale_rows(index: DataFrame, manifests: DataFrame, documents: DataFrame) ->
     return rows.join(live, "memory_id", "left").groupBy("generation_id").agg(F.count("*").alias("rows"), F.count_if(F.col("live").isNull()).alias("stale"))
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, weight: float = 0.7, constant: int = 60, limit: int = 8) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists (project_id, memory_id, rank) of each project."""
+def nearest_to_first(index: DataFrame, manifests: DataFrame, limit: int = 50, least: float = 0.82) -> DataFrame:
+    """Per project, in its last completed generation, the ``limit`` memories nearest to the first usable vector: a stored
+    vector stands for an embedded query. (project_id, memory_id, similarity, rank), of at least ``least``."""
     from pyspark.sql.window import Window
 
-    one = lexical.select("project_id", "memory_id", F.col("rank").alias("lexical_rank"))
+    done = manifests.where("completed_at IS NOT NULL").groupBy("project_id").agg(F.max_by(F.struct("generation_id", "dimension"), F.struct("completed_at", "generation_id")).alias("g")).select("g.*")
+    rows = index.select("generation_id", "project_id", "ordinal", "memory_id", F.col("vector").cast("array<double>").alias("v")).join(done, "generation_id")
+    sized = rows.where((F.size("v") == F.col("dimension")) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).withColumn("size", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    once = sized.where("size > 0").groupBy("project_id", "ordinal").agg(F.min_by(F.struct("memory_id", "v", "size"), "memory_id").alias("r")).select("project_id", "ordinal", "r.*")
+    asked = once.groupBy("project_id").agg(F.min_by(F.struct("v", "size"), "ordinal").alias("q"))
+    dot = F.aggregate(F.zip_with("v", "q.v", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    scored = once.join(asked, "project_id").select("project_id", "memory_id", F.round(dot / (F.col("size") * F.col("q.size")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    best = scored.groupBy("project_id", "memory_id").agg(F.max("similarity").alias("similarity"))
+    order = Window.partitionBy("project_id").orderBy(F.desc("similarity"), "memory_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+
+
+def fuse(lexical: DataFrame, semantic: DataFrame, documents: DataFrame, weight: float = 0.7, constant: int = 60, limit: int = 8) -> DataFrame:
+    """Reciprocal rank fusion of a project's lexical hits (project_id, memory_id, rank, tier, score, confidence) with its
+    semantic ones (project_id, memory_id, rank). Hits that only the vectors tell must be eligible for the index, and are
+    at most half sure. Exact records come first, then the fused score, the match tier, the lexical score, the id."""
+    from pyspark.sql.window import Window
+
+    one = lexical.select("project_id", "memory_id", F.col("rank").alias("lexical_rank"), "tier", "score", F.col("confidence").alias("sure"))
     two = semantic.select("project_id", "memory_id", F.col("rank").alias("semantic_rank"))
-    both = one.join(two, ["project_id", "memory_id"], "full_outer")
+    known = documents.where("index").select("memory_id", F.col("confidence").alias("of_memory"))
+    both = one.join(two, ["project_id", "memory_id"], "full_outer").join(known, "memory_id", "left").where("lexical_rank IS NOT NULL OR of_memory IS NOT NULL")
     part = lambda c, w: F.coalesce(F.lit(float(w)) / (F.lit(constant) + F.col(c)), F.lit(0.0))
     fused = F.floor((part("lexical_rank", 1) + part("semantic_rank", weight)) * 1e6 + 0.5) / 1e6
-    branch = F.when(F.col("semantic_rank").isNull(), "lexical").when(F.col("lexical_rank").isNull(), "semantic").otherwise("hybrid")
-    order = Window.partitionBy("project_id").orderBy(F.desc("fused"), "memory_id")
-    return both.select("project_id", "memory_id", fused.alias("fused"), branch.alias("branch")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    only = F.col("lexical_rank").isNull()
+    branch = F.when(F.col("semantic_rank").isNull(), "lexical").when(only, "semantic").otherwise("hybrid")
+    rows = both.withColumn("fused", fused).withColumn("branch", branch).withColumn("match", F.coalesce("tier", F.lit(1))).withColumn("confidence", F.when(only, F.least(F.lit(0.5), F.col("of_memory"))).otherwise(F.col("sure")))
+    order = Window.partitionBy("project_id").orderBy(F.desc(F.coalesce(F.col("tier") == 3, F.lit(False))), F.desc("fused"), F.desc("match"), F.desc(F.coalesce("score", F.lit(0.0))), "memory_id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("project_id", "memory_id", "fused", "branch", "confidence", "rank")

@@ -8,13 +8,14 @@ from threadloom.functions.instants import instant
 from threadloom.operators import decision_views, documents, evidence, health, lexical, recall, tags, vectors
 from threadloom.plans import archive
 from threadloom.plans.archive import DECISIONS, KEPT, NOW, VIEWS, S, clean_sql, tokens_sql
-from threadloom.session import table
+from threadloom.session import materialise, table
 
 ASKED = {
     "q_broker": "Why did we choose the message broker over the build cache?",
     "q_retry": "What is the current retry policy",
     "q_zh": "为什么选择消息代理",
     "q_rare": "quantum entanglement ledger",
+    "q_half": "quantum entanglement broker",
 }
 RELATIONS = [
     ("message broker", "thread-pool", "synonym", 0.9, []),
@@ -92,8 +93,10 @@ def search_raw(spark, sf_dir):
 
 
 def latin_gate(spark, sf_dir):
-    """Hits of a query of which no project knows most words: none but by another word."""
-    return _hits(spark, sf_dir).where("query_id = 'q_rare'").groupBy("project_id").agg(F.count("*").alias("hits"))
+    """Hits of each query over all projects: none of one of which a text has few words, though it has some."""
+    queries = _queries(spark)
+    hits = lexical.search(_docs(spark, sf_dir), queries).groupBy("query_id").agg(F.count("*").alias("hits"))
+    return queries.select("query_id").join(hits, "query_id", "left").fillna(0, ["hits"])
 
 
 def tag_registry(spark, sf_dir):
@@ -122,9 +125,10 @@ def vector_stale(spark, sf_dir):
 
 
 def hybrid_rrf(spark, sf_dir):
-    """Fuses the ranks of two queries' hits; a semantic branch would bring the second list."""
-    hits = _hits(spark, sf_dir, limit=50)
-    return vectors.fuse(hits.where("query_id = 'q_broker'"), hits.where("query_id = 'q_retry'"))
+    """Lexical hits of a query, fused with the memories nearest to a stored vector."""
+    docs = materialise(_docs(spark, sf_dir), "documents")
+    hits = lexical.search(docs, _queries(spark), limit=50).where("query_id = 'q_broker'")
+    return vectors.fuse(hits, vectors.nearest_to_first(table(spark, sf_dir, "vector_index"), table(spark, sf_dir, "index_manifests")), docs)
 
 
 def _snippets(spark, sf_dir):
@@ -148,12 +152,31 @@ def recall_best_decision(spark, sf_dir):
 
 
 def recall_package(spark, sf_dir):
-    hits = _snippets(spark, sf_dir)
-    disputed = decision_views.conflicts(archive._decisions(spark, sf_dir)).select("canonical_id")
-    conflicting = recall.best_decision(hits, _decision_evidence(spark, sf_dir)).join(disputed, "canonical_id", "left_semi")
+    """How well the archive answers each query in each project, once hits are refined by reasons and current evidence."""
+    queries = _queries(spark)
+    docs = materialise(_docs(spark, sf_dir), "documents")
+    found = lexical.search(docs, queries).join(docs.select("memory_id", F.substring("display", 1, 500).alias("snippet"), "source_events"), "memory_id")
+    hits = materialise(recall.with_reasons(found, queries), "hits")
+    rows = materialise(archive._decisions(spark, sf_dir), "decisions")
+    views = materialise(decision_views.views(rows), "views")
+    cited = rows.select("canonical_id", "event_id", F.col("evidence_refs")[0].alias("event_key"))
+    best = materialise(recall.best_decision(hits, cited.join(views.select("canonical_id", "updated_at"), "canonical_id")), "best")
+    current = cited.join(views.select(F.col("current_event_id").alias("event_id")), "event_id").select("canonical_id", "event_key")
+    kept = recall.with_current_evidence(hits, best, current, queries).select("query_id", "project_id", "tier")
+    raw = lexical.search_raw(archive.events(spark, sf_dir), queries).select("query_id", "project_id", F.lit(0).alias("tier"))
+    conflicting = best.join(decision_views.conflicts(rows).select("canonical_id"), "canonical_id", "left_semi")
     projects = table(spark, sf_dir, "processed_memories").select("project_id").distinct()
     asked = projects.select("project_id", F.explode(F.array(*map(F.lit, ASKED))).alias("query_id"))
-    return recall.classify(hits, asked, conflicting)
+    return recall.classify(kept.unionByName(raw), asked, conflicting)
+
+
+def recall_candidates(spark, sf_dir):
+    """What each project offers for queries without a processed hit."""
+    docs = materialise(_docs(spark, sf_dir), "documents")
+    hits = lexical.search(docs, _queries(spark)).groupBy("query_id", "project_id").agg(F.count("*").alias("hits"))
+    projects = docs.select("project_id").distinct().select("project_id", F.explode(F.array(*map(F.lit, ASKED))).alias("query_id"))
+    registry = materialise(tags.registry(evidence.memories(table(spark, sf_dir, "processed_memories")), table(spark, sf_dir, "memory_control_events")).select("project_id", "tag", "usage_count", "last_used"), "registry")
+    return recall.candidates(projects.join(hits, ["query_id", "project_id"], "left").fillna(0, ["hits"]), registry, tags.month_buckets(registry))
 
 
 def _views(spark, sf_dir):
@@ -236,7 +259,7 @@ def eval_scores(spark, sf_dir):
 
 _ALL = (
     effective_state, evidence_status, evidence_assessment, effective_documents, document_frequency, bm25_search, search_time_range, term_expand, search_expanded,
-    search_raw, latin_gate, tag_registry, tag_suggest, month_buckets, vector_topk, vector_stale, hybrid_rrf, recall_budget, recall_best_decision, recall_package,
+    search_raw, latin_gate, tag_registry, tag_suggest, month_buckets, vector_topk, vector_stale, hybrid_rrf, recall_budget, recall_best_decision, recall_package, recall_candidates,
     why_rank, staleness, vault_stats, health_capture, health_overall, enrichment_candidates, enrichment_budget, overlay_apply, settings_resolve, doctor_rollup, eval_scores,
 )
 QUERIES = {q.__name__: q for q in _ALL}
@@ -347,6 +370,11 @@ _CAND = f"""
 SELECT project_id, memory_id, position, display FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY created_at, memory_id) AS position FROM ({_DOCS})
   WHERE "index" AND source_hash IS NOT NULL AND memory_id NOT IN (SELECT target_memory_id FROM memory_control_events WHERE target_memory_id IS NOT NULL)) WHERE position <= 6"""
 _layers = ", ".join(f"('{k}', '{v}', '{name}', {i})" for i, (name, values) in enumerate(LAYERS.items()) for k, v in values.items())
+_RAW = f"""
+SELECT query_id, project_id, event_key, score, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, project_id ORDER BY score DESC, confidence DESC, event_key) AS rank FROM (
+  SELECT w.query_id, w.project_id, event_key, count(*) AS score, round(least(0.6, count(*) / any_value(wanted)) * CASE WHEN savepoint_status = 'partial' THEN 0.6 ELSE 1 END, 6) AS confidence
+  FROM (SELECT e.project_id, event_key, savepoint_status, t.query_id, wanted FROM (SELECT *, {tokens_sql("content")} AS tokens FROM ({archive.EVENTS}) WHERE sensitivity = 'normal') e,
+        (SELECT *, count(*) OVER (PARTITION BY query_id) AS wanted FROM ({_OWN})) t WHERE list_contains(e.tokens, t.token)) w GROUP BY w.query_id, w.project_id, event_key, savepoint_status)) WHERE rank <= 8"""
 ORACLES = {
     "effective_state": _STATES,
     "evidence_status": f"SELECT owner AS memory_id, event_key, status FROM ({_DESC})",
@@ -357,12 +385,8 @@ ORACLES = {
     "search_time_range": f"SELECT {_H} FROM ({_search(_RANGE)})",
     "term_expand": _EXPAND,
     "search_expanded": f"SELECT {_H}, expanded FROM ({_search(expanded=True)})",
-    "search_raw": f"""
-SELECT query_id, project_id, event_key, score, confidence, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, project_id ORDER BY score DESC, confidence DESC, event_key) AS rank FROM (
-  SELECT w.query_id, w.project_id, event_key, count(*) AS score, round(least(0.6, count(*) / any_value(wanted)) * CASE WHEN savepoint_status = 'partial' THEN 0.6 ELSE 1 END, 6) AS confidence
-  FROM (SELECT e.project_id, event_key, savepoint_status, t.query_id, wanted FROM (SELECT *, {tokens_sql("content")} AS tokens FROM ({archive.EVENTS}) WHERE sensitivity = 'normal') e,
-        (SELECT *, count(*) OVER (PARTITION BY query_id) AS wanted FROM ({_OWN})) t WHERE list_contains(e.tokens, t.token)) w GROUP BY w.query_id, w.project_id, event_key, savepoint_status)) WHERE rank <= 8""",
-    "latin_gate": f"SELECT project_id, count(*) AS hits FROM ({_search()}) WHERE query_id = 'q_rare' GROUP BY project_id",
+    "search_raw": _RAW,
+    "latin_gate": f"SELECT q.query_id, coalesce(n, 0) AS hits FROM (VALUES {_VALUES}) q(query_id, query) LEFT JOIN (SELECT query_id, count(*) AS n FROM ({_search()}) GROUP BY ALL) h ON h.query_id = q.query_id",
     "tag_registry": _REG,
     "tag_suggest": f"""
 SELECT project_id, tag, usage_count, exact, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY exact DESC, usage_count DESC, tag) AS rank
@@ -376,19 +400,43 @@ SELECT query, vec_id, round(similarity, 5) AS similarity FROM (SELECT *, row_num
 SELECT generation_id, count(*) AS rows, count_if(d.memory_id IS NULL) AS stale FROM (SELECT DISTINCT generation_id, ordinal, memory_id FROM vector_index) i
 JOIN (SELECT generation_id FROM index_manifests WHERE completed_at IS NOT NULL) USING (generation_id) LEFT JOIN (SELECT memory_id FROM ({_DOCS}) WHERE "index") d ON d.memory_id = i.memory_id GROUP BY generation_id""",
     "hybrid_rrf": f"""
-SELECT * FROM (SELECT project_id, memory_id, fused, branch, row_number() OVER (PARTITION BY project_id ORDER BY fused DESC, memory_id) AS rank FROM (
-  SELECT project_id, memory_id, floor((coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(0.7::DOUBLE / (60 + s.rank), 0)) * 1e6 + 0.5) / 1e6 AS fused, CASE WHEN s.rank IS NULL THEN 'lexical' WHEN l.rank IS NULL THEN 'semantic' ELSE 'hybrid' END AS branch
-  FROM (SELECT project_id, memory_id, rank FROM ({_search(limit=50)}) WHERE query_id = 'q_broker') l FULL JOIN (SELECT project_id, memory_id, rank FROM ({_search(limit=50)}) WHERE query_id = 'q_retry') s USING (project_id, memory_id))) WHERE rank <= 8""",
+WITH g AS (SELECT project_id, arg_max(generation_id, (completed_at, generation_id)) AS generation_id, arg_max(dimension, (completed_at, generation_id)) AS dimension FROM index_manifests WHERE completed_at IS NOT NULL GROUP BY ALL),
+u AS (SELECT * FROM (SELECT i.project_id, ordinal, memory_id, vector::DOUBLE[] AS v, row_number() OVER (PARTITION BY i.project_id, ordinal ORDER BY memory_id) AS n FROM vector_index i JOIN g ON g.generation_id = i.generation_id
+      WHERE len(vector) = dimension AND len([x FOR x IN vector IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_sum([x * x FOR x IN vector::DOUBLE[]]) > 0) WHERE n = 1),
+q AS (SELECT project_id, arg_min(v, ordinal) AS q FROM u GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY similarity DESC, memory_id) AS rank FROM (SELECT project_id, memory_id, max(round(list_cosine_similarity(v, q), 6)) AS similarity FROM u JOIN q USING (project_id) GROUP BY ALL) WHERE similarity >= 0.82),
+b AS (SELECT project_id, memory_id, l.rank AS lr, s.rank AS sr, tier, score, l.confidence AS sure, d.confidence AS own
+      FROM (SELECT project_id, memory_id, rank, tier, score, confidence FROM ({_search(limit=50)}) WHERE query_id = 'q_broker') l FULL JOIN (SELECT * FROM s WHERE rank <= 50) s USING (project_id, memory_id)
+      LEFT JOIN (SELECT memory_id, confidence FROM ({_DOCS}) WHERE "index") d USING (memory_id) WHERE l.rank IS NOT NULL OR d.confidence IS NOT NULL),
+f AS (SELECT *, floor((coalesce(1.0::DOUBLE / (60 + lr), 0) + coalesce(0.7::DOUBLE / (60 + sr), 0)) * 1e6 + 0.5) / 1e6 AS fused, CASE WHEN sr IS NULL THEN 'lexical' WHEN lr IS NULL THEN 'semantic' ELSE 'hybrid' END AS branch, CASE WHEN lr IS NULL THEN least(0.5, own) ELSE sure END AS confidence FROM b)
+SELECT * FROM (SELECT project_id, memory_id, fused, branch, confidence, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(tier = 3, false) DESC, fused DESC, coalesce(tier, 1) DESC, coalesce(score, 0) DESC, memory_id) AS rank FROM f) WHERE rank <= 8""",
+    "recall_candidates": f"""
+WITH a AS (SELECT p.project_id, q.query_id FROM (SELECT DISTINCT project_id FROM ({_DOCS})) p, (VALUES {_VALUES}) q(query_id, query)),
+h AS (SELECT DISTINCT query_id, project_id FROM ({_search()})),
+t AS (SELECT project_id, 'tag' AS kind, tag AS value, row_number() OVER (PARTITION BY project_id ORDER BY usage_count DESC, tag) AS rank FROM ({_REG})),
+m AS (SELECT project_id, 'month' AS kind, month AS value, row_number() OVER (PARTITION BY project_id ORDER BY month DESC) AS rank FROM (SELECT DISTINCT project_id, substring(last_used, 1, 7) AS month FROM ({_REG})) WHERE regexp_matches(month, '^\\d{{4}}-\\d{{2}}$'))
+SELECT a.query_id, a.project_id, kind, value, rank FROM a JOIN (SELECT * FROM t WHERE rank <= 8 UNION ALL SELECT * FROM m WHERE rank <= 5) o ON o.project_id = a.project_id
+WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = a.query_id AND h.project_id = a.project_id)""",
     "recall_budget": f"""
 SELECT query_id, project_id, rank, memory_id, substring(snippet, 1, (400 - spent)::INT) AS snippet, length(snippet) > 400 - spent AS truncated FROM (
   SELECT *, coalesce(sum(length(snippet)) OVER (PARTITION BY query_id, project_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM ({_SNIP})) WHERE spent < 400""",
     "recall_best_decision": _BEST,
     "recall_package": f"""
+WITH s AS (SELECT s.*, regexp_matches(q.query, '(?i)(?:为什么|原因|理由|why|reason)') AS why, regexp_matches(q.query, '(?i)(?:当前|现在|目前|current|currently|now)') AS now_,
+             coalesce(regexp_matches(snippet, '(?i)(?:因为|由于|[A-Za-z0-9_]因|because|reason|cost|complexity|constraint)'), false) AS gives FROM ({_SNIP}) s JOIN (VALUES {_VALUES}) q(query_id, query) USING (query_id)),
+r AS (SELECT * FROM (SELECT *, bool_or(gives) OVER (PARTITION BY query_id, project_id) AS any_ FROM s) WHERE NOT why OR gives OR NOT any_),
+best AS (SELECT query_id, project_id, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, project_id ORDER BY rank, updated_at DESC, canonical_id) AS n FROM (
+    SELECT x.query_id, x.project_id, canonical_id, min(rank) AS rank, max(try_cast(updated_at AS TIMESTAMPTZ)) AS updated_at
+    FROM (SELECT query_id, project_id, rank, lower(trim(unnest(source_events))) AS event_key FROM r) x JOIN ({_EVID}) USING (event_key) GROUP BY ALL)) WHERE n = 1),
+cur AS (SELECT d.canonical_id, d.event_key FROM ({DECISIONS}) d JOIN ({VIEWS}) v ON v.current_event_id = d.event_id),
+c AS (SELECT r.*, EXISTS (SELECT 1 FROM best b JOIN cur ON cur.canonical_id = b.canonical_id WHERE b.query_id = r.query_id AND b.project_id = r.project_id AND list_contains([lower(trim(e)) FOR e IN r.source_events], cur.event_key)) AS cites FROM r),
+k AS (SELECT query_id, project_id, tier FROM (SELECT *, bool_or(cites) OVER (PARTITION BY query_id, project_id) AS some_ FROM c) WHERE NOT (why OR now_) OR cites OR NOT some_
+      UNION ALL SELECT query_id, project_id, 0 FROM ({_RAW}))
 SELECT a.query_id, a.project_id, coalesce(h.n, 0) AS hits,
-       CASE WHEN h.tier IS NULL THEN 'no_reliable_memory_found' WHEN c.query_id IS NOT NULL THEN 'conflicting_memories_found' WHEN h.tier = 3 THEN 'exact_record_found' WHEN h.tier = 2 THEN 'similar_record_found' ELSE 'possible_match' END AS classification
+       CASE WHEN h.tier IS NULL THEN 'no_reliable_memory_found' WHEN c.query_id IS NOT NULL THEN 'conflicting_memories_found' WHEN h.tier = 3 THEN 'exact_record_found' WHEN h.tier = 2 THEN 'similar_record_found' WHEN h.tier = 0 THEN 'unprocessed_raw_match' ELSE 'possible_match' END AS classification
 FROM (SELECT DISTINCT project_id, q.query_id FROM processed_memories, (VALUES {_VALUES}) q(query_id, query)) a
-LEFT JOIN (SELECT query_id, project_id, max(tier) AS tier, count(*) AS n FROM ({_search()}) GROUP BY ALL) h ON h.query_id = a.query_id AND h.project_id = a.project_id
-LEFT JOIN (SELECT DISTINCT query_id, project_id FROM ({_BEST}) WHERE canonical_id IN (SELECT canonical_id FROM ({archive.ORACLES["decision_conflicts"]}))) c ON c.query_id = a.query_id AND c.project_id = a.project_id""",
+LEFT JOIN (SELECT query_id, project_id, max(tier) AS tier, count(*) AS n FROM k GROUP BY ALL) h ON h.query_id = a.query_id AND h.project_id = a.project_id
+LEFT JOIN (SELECT DISTINCT query_id, project_id FROM best WHERE canonical_id IN (SELECT canonical_id FROM ({archive.ORACLES["decision_conflicts"]}))) c ON c.query_id = a.query_id AND c.project_id = a.project_id""",
     "why_rank": f"""
 SELECT project_id, canonical_id, topic, score, rank, rank = 1 AND score >= 60 AND score IS DISTINCT FROM next AS selected FROM (
   SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next FROM (
