@@ -11,15 +11,7 @@ from threadloom.functions.text import lexical_terms, normalize_text, term_key, t
 
 #: Words of a query that are not searched for.
 QUERY_STOPS = ("a", "an", "did", "do", "does", "for", "is", "of", "our", "the", "to", "was", "we", "were", "what", "which", "why", "我们", "们讨", "讨论", "论过", "之前", "前为", "为什么", "什么", "么没", "没有", "最后", "后定", "定了", "了什", "吗")
-EQUIVALENT = ("synonym", "alias", "abbreviation", "contextual_equivalent", "location_mapping", "product_name")
 RELATION = "term_a string, term_b string, relation_type string, confidence double, context_tags array<string>"
-#: Rows up to which a side travels to the other; a larger one is joined by a shuffle.
-SMALL = 50_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if it is proven to be small."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def postings(documents: DataFrame) -> DataFrame:
@@ -36,7 +28,7 @@ def expand(queries: DataFrame, relations: DataFrame, context: tuple[str, ...] =
     """(query_id, term, confidence): terms one relation away from a query or one of its words, in either direction.
 
     Weak relations, and those whose context does not hold, say nothing; an ambiguous or merely related pair vetoes the
-    equivalence of the same pair. Relations are a curated list, queries are bounded: both are small.
+    equivalence of the same pair.
     """
     tags = F.array(*map(F.lit, context)) if context else F.array().cast("array<string>")
     applies = (F.col("confidence") >= 0.6) & ((F.size("context_tags") <= 0) | F.arrays_overlap("context_tags", tags))
@@ -47,9 +39,11 @@ def expand(queries: DataFrame, relations: DataFrame, context: tuple[str, ...] =
     norm = lambda c: F.lower(normalize_text(F.col(c)))
     both = usable.select(norm("term_a").alias("seen"), norm("term_b").alias("term"), "confidence").unionByName(usable.select(norm("term_b").alias("seen"), norm("term_a").alias("term"), "confidence"))
     texts = queries.select("query_id", F.explode(F.concat(F.array("query"), lexical_terms(F.col("query")))).alias("text")).select("query_id", term_key(F.col("text")).alias("text"))
-    phrase = term_key(F.col("seen"))
-    inside = phrase.contains(" ") & F.concat(F.lit(" "), F.col("text"), F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))
-    hits = texts.join(small(both), (F.col("text") == phrase) | inside)
+    # a term is met as the whole text, or, if it has several words, as words in a row of it: an equality on these
+    words = F.split("text", " ")
+    rows = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(i, F.size(words)), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
+    keys = texts.select("query_id", F.explode(F.array_distinct(F.concat(F.array("text"), F.filter(rows, lambda r: r.contains(" "))))).alias("phrase"))
+    hits = keys.join(both.withColumn("phrase", term_key(F.col("seen"))), "phrase")
     return hits.groupBy("query_id", "term").agg(F.max("confidence").alias("confidence"))
 
 
@@ -82,13 +76,13 @@ def search(documents: DataFrame, queries: DataFrame, expansions: DataFrame | Non
     terms = query_terms(queries, expansions)
     tokens = terms.select("token").distinct()
     tokenised = active.select("project_id", "memory_id", F.explode(tokenize(F.lower("text"))).alias("token"))
-    counts = tokenised.join(small(tokens), "token").groupBy("project_id", "memory_id", "token").agg(F.count("*").alias("tf"))
+    counts = tokenised.join(tokens, "token").groupBy("project_id", "memory_id", "token").agg(F.count("*").alias("tf"))
     frequency = counts.groupBy("project_id", "token").agg(F.count("*").alias("df"))
     totals = active.groupBy("project_id").agg(F.count("*").alias("documents"))
     idf = F.log1p((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = counts.join(frequency.join(totals, "project_id").select("project_id", "token", idf.alias("idf")), ["project_id", "token"])
     tagged = active.select("memory_id", "search_tags", "source", "confidence", "integrity", "created_at")
-    pairs = weighed.join(small(terms), "token").join(tagged, "memory_id")
+    pairs = weighed.join(terms, "token").join(tagged, "memory_id")
     gain = F.col("idf") * (F.col("tf") * 2.2) / (F.col("tf") + 1.2) * F.col("weight") + F.when(F.array_contains("search_tags", F.col("token")), 2 * F.col("weight")).otherwise(0.0)
     scored = pairs.groupBy("query_id", "project_id", "memory_id", "source", "confidence", "integrity", "created_at", "total", "latin_total").agg(
         F.sum(gain).alias("raw"), F.sum("times").alias("hit"), F.sum(F.when(F.col("latin"), F.col("times")).otherwise(0)).alias("latin_hit"), F.bool_or(F.col("times") == 0).alias("expanded")
@@ -109,7 +103,7 @@ def search_raw(events: DataFrame, queries: DataFrame, limit: int = 8, sensitive:
     sizes = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
     rows = events if sensitive else events.where(F.col("sensitivity") == "normal")
     words = rows.select("project_id", "event_key", "savepoint_status", F.explode(F.array_distinct(tokenize(F.lower("content")))).alias("token"))
-    hits = words.join(small(terms), "token").groupBy("query_id", "project_id", "event_key", "savepoint_status").agg(F.count("*").alias("score")).join(small(sizes), "query_id")
+    hits = words.join(terms, "token").groupBy("query_id", "project_id", "event_key", "savepoint_status").agg(F.count("*").alias("score")).join(sizes, "query_id")
     sure = F.least(F.lit(0.6), F.col("score") / F.col("wanted")) * F.when(F.col("savepoint_status") == "partial", 0.6).otherwise(1.0)
     order = Window.partitionBy("query_id", "project_id").orderBy(F.desc("score"), F.desc("confidence"), "event_key")
     return hits.withColumn("confidence", F.round(sure, 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query_id", "project_id", "event_key", "score", "confidence", "rank")
