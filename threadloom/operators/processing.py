@@ -44,9 +44,14 @@ def within_budget(queue: DataFrame, events: DataFrame, most: int = POLICY["max_i
     return running.where(fits).select("project_id", "event_key", "position", "tokens", "spent", F.when(F.col("tokens").isNull(), "failed").otherwise("processing").alias("outcome"))
 
 
+def _clean(events: DataFrame) -> Column:
+    """The normalised text of each event: as stored with it, where it is."""
+    return F.col("clean") if "clean" in events.columns else normalize_text(F.col("content"))
+
+
 def memories(events: DataFrame) -> DataFrame:
     """The memory of each event that deserves one: not secret, and not a short answer that decides nothing."""
-    clean = normalize_text(F.col("content"))
+    clean = _clean(events)
     rows = events.where(F.col("sensitivity") != "secret").withColumn("clean", clean).withColumn("kind", decisions.kind(F.col("clean")))
     explicit = (F.col("role") == "user") & decisions.explicit_request(F.col("content"))
     durable = F.col("kind").isNotNull() | decisions.has(F.col("clean"), "记住|remember")
@@ -61,7 +66,7 @@ def memories(events: DataFrame) -> DataFrame:
 
 def decision_events(events: DataFrame) -> DataFrame:
     """The decision event of each event that decides something."""
-    clean = normalize_text(F.col("content"))
+    clean = _clean(events)
     rows = events.where(F.col("sensitivity") != "secret").withColumn("statement", clean).withColumn("kind", decisions.kind(F.col("statement"))).where("kind IS NOT NULL")
     current = decisions.has(F.col("statement"), decisions.CURRENT)
     status = F.when(F.col("kind") == "rejection", "rejected").when(F.col("kind").isin("decision", "current_state", "correction") & current, "current").otherwise("proposed")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import decisions, sensitivity, text
 from threadloom.operators import capture, decision_views, processing
-from threadloom.session import table
+from threadloom.session import materialise, table
 
 NOW = "2026-07-01T00:00:00Z"
 
@@ -42,7 +42,7 @@ def keywords_top12(spark, sf_dir):
 
 
 def memory_from_event(spark, sf_dir):
-    return processing.memories(events(spark, sf_dir)).withColumn("tags", F.concat_ws(" ", "tags"))
+    return processing.memories(stored(spark, sf_dir)).withColumn("tags", F.concat_ws(" ", "tags"))
 
 
 def decision_kind(spark, sf_dir):
@@ -55,8 +55,13 @@ def decision_topic_alias(spark, sf_dir):
     return events(spark, sf_dir).select("event_key", decisions.topic(clean).alias("topic"), F.concat_ws(",", decisions.aliases(clean)).alias("aliases"))
 
 
+def stored(spark, sf_dir):
+    """The captured messages with their normalised text, written once, so that no later plan carries both inside it."""
+    return materialise(events(spark, sf_dir).withColumn("clean", text.normalize_text(F.col("content"))), "captured")
+
+
 def _decisions(spark, sf_dir):
-    return processing.decision_events(events(spark, sf_dir))
+    return materialise(processing.decision_events(stored(spark, sf_dir)), "decisions")
 
 
 def decision_view(spark, sf_dir):
@@ -199,7 +204,19 @@ SELECT project_id, event_key, content, timestamp AS created_at, CASE WHEN {_EXPL
 _FIRST = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY priority <> 'explicit', created_at, event_key) AS position FROM ({_QUEUE})) WHERE position <= 100"""
 _TOKENS = "greatest(1, ceil((length(content) + length(regexp_replace(content, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4))::BIGINT"
+_FOLD = f"""
+WITH RECURSIVE r AS (SELECT canonical_id, event_id, {_SETTING} AS setting, source = 'user_explicit' AS u, regexp_matches(statement, '(?i)(?:当前|现在|目前|now|current)') AS now_,
+    row_number() OVER (PARTITION BY canonical_id ORDER BY timestamp, event_id) AS n FROM ({DECISIONS})),
+f AS (SELECT DISTINCT canonical_id, 0::BIGINT AS n, []::VARCHAR[] AS ex, []::VARCHAR[] AS inf, NULL::VARCHAR AS event_id, NULL::VARCHAR AS superseded_by FROM r
+  UNION ALL
+  SELECT r.canonical_id, r.n, list_concat(CASE WHEN now_ AND len(ex) > 0 THEN ex[1:len(ex) - 1] ELSE ex END, CASE WHEN setting AND u THEN [r.event_id] ELSE [] END),
+    list_concat(CASE WHEN now_ AND len(ex) = 0 AND len(inf) > 0 THEN inf[1:len(inf) - 1] ELSE inf END, CASE WHEN setting AND NOT u THEN [r.event_id] ELSE [] END),
+    CASE WHEN now_ AND len(ex) > 0 THEN ex[len(ex)] WHEN now_ AND len(inf) > 0 THEN inf[len(inf)] END, r.event_id
+  FROM f JOIN r ON r.canonical_id = f.canonical_id AND r.n = f.n + 1)
+SELECT event_id, superseded_by FROM f WHERE event_id IS NOT NULL"""
 ORACLES = {
+    "supersede_fold": _FOLD,
+    "decision_superseded_anti": f"SELECT canonical_id, count(*) AS standing FROM ({DECISIONS}) WHERE event_id NOT IN (SELECT event_id FROM ({_FOLD})) GROUP BY canonical_id",
     "capture_ids_dedupe": f"SELECT event_key, capture_id, computed_hash FROM ({EVENTS})",
     "capture_seq": f"SELECT event_key, project_id, row_number() OVER (PARTITION BY project_id ORDER BY try_cast(timestamp AS TIMESTAMPTZ) NULLS FIRST, event_key) AS sequence FROM ({EVENTS})",
     "sensitivity_levels": f"""SELECT delivery_id, {level_sql("content")} AS level,

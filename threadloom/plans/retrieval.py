@@ -35,7 +35,9 @@ LAYERS = {
 
 
 def _docs(spark, sf_dir):
-    return documents.effective(table(spark, sf_dir, "processed_memories"), table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "memory_control_events"))
+    """The effective documents, written once, as every search reads them several times."""
+    docs = documents.effective(table(spark, sf_dir, "processed_memories"), table(spark, sf_dir, "raw_events"), table(spark, sf_dir, "memory_control_events"))
+    return materialise(docs, "documents")
 
 
 def _queries(spark):
@@ -126,7 +128,7 @@ def vector_stale(spark, sf_dir):
 
 def hybrid_rrf(spark, sf_dir):
     """Lexical hits of a query, fused with the memories nearest to a stored vector."""
-    docs = materialise(_docs(spark, sf_dir), "documents")
+    docs = _docs(spark, sf_dir)
     hits = lexical.search(docs, _queries(spark), limit=50).where("query_id = 'q_broker'")
     return vectors.fuse(hits, vectors.nearest_to_first(table(spark, sf_dir, "vector_index"), table(spark, sf_dir, "index_manifests")), docs)
 
@@ -154,7 +156,7 @@ def recall_best_decision(spark, sf_dir):
 def recall_package(spark, sf_dir):
     """How well the archive answers each query in each project, once hits are refined by reasons and current evidence."""
     queries = _queries(spark)
-    docs = materialise(_docs(spark, sf_dir), "documents")
+    docs = _docs(spark, sf_dir)
     found = lexical.search(docs, queries).join(docs.select("memory_id", F.substring("display", 1, 500).alias("snippet"), "source_events"), "memory_id")
     hits = materialise(recall.with_reasons(found, queries), "hits")
     rows = materialise(archive._decisions(spark, sf_dir), "decisions")
@@ -172,7 +174,7 @@ def recall_package(spark, sf_dir):
 
 def recall_candidates(spark, sf_dir):
     """What each project offers for queries without a processed hit."""
-    docs = materialise(_docs(spark, sf_dir), "documents")
+    docs = _docs(spark, sf_dir)
     hits = lexical.search(docs, _queries(spark)).groupBy("query_id", "project_id").agg(F.count("*").alias("hits"))
     projects = docs.select("project_id").distinct().select("project_id", F.explode(F.array(*map(F.lit, ASKED))).alias("query_id"))
     registry = materialise(tags.registry(evidence.memories(table(spark, sf_dir, "processed_memories")), table(spark, sf_dir, "memory_control_events")).select("project_id", "tag", "usage_count", "last_used"), "registry")
