@@ -45,6 +45,14 @@ def test_space_left_over_across_blocks(spark):
     assert packed.groupBy("container", "capacity").sum("tokens").where("`sum(tokens)` > capacity").count() == 0
 
 
+@pytest.mark.parametrize("block", [500, 1500])
+def test_blocks_cost_two_containers_each_at_most(spark, block):
+    rng = np.random.default_rng(5)
+    counts = spark.createDataFrame([(i, int(s)) for i, s in enumerate(np.minimum(rng.lognormal(5, 1, 6000).astype(int) + 1, 5000))], "doc_id bigint, tokens int")
+    whole, parts = ({r.capacity: r.containers for r in pk.usage(pk.pack(counts, [512, 2048], block=b)).collect()} for b in (6000, block))
+    assert all(parts[c] - whole[c] <= 2 * (6000 // block) for c in whole), (whole, parts)
+
+
 @pytest.mark.skipif(not os.path.exists(pk.TOKENIZER), reason="no tokenizer files")
 def test_token_counts_cover_whole_texts(spark):
     texts = [(1, "hello world"), (2, ""), (3, None), (4, "词" * 3), (5, "a b " * 30_000), (None, "x")]

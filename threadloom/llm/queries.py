@@ -48,6 +48,16 @@ def p3_sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3.sanitise(kept.select(F.col("event_key").alias("event_id"), "content"), "event_id")
 
 
+def p3_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages there are, and how many differ from their content in more than placeholders for something."""
+    kept = kept_copies(table(spark, sf_dir, "raw_events"), F.col("content")).select(F.col("event_key").alias("event_id"), "content")
+    clean = p3.sanitise(kept, "event_id").withColumnRenamed("content", "clean")
+    literal = F.regexp_replace("clean", r"([\\%_])", r"\\$1")
+    pattern = F.regexp_replace(literal, r"\[(?:EMAIL|PHONE|ID\\_NUMBER|ADDRESS|NAME)\]", "%")
+    same = kept.join(clean, "event_id").withColumn("pattern", pattern).select(F.coalesce(F.expr("content LIKE pattern"), F.col("content").isNull() & F.col("clean").isNull()).alias("same"))
+    return same.agg(F.count("*").alias("messages"), F.count_if(~F.col("same")).alias("altered"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = p4.memory_vectors(table(spark, sf_dir, "vector_index"), table(spark, sf_dir, "index_manifests"))
     return p4.pairs(p4.nearest(rows, k=5, min_similarity=0.82))
@@ -56,7 +66,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy search on the graph of ``embeddings``: the 10 best for every vec_id divisible by 100."""
     vectors = table(spark, sf_dir, "embeddings").withColumn("vec_id", F.col("vec_id").cast("string"))
-    index = p4.Vectors(p4.unit_vectors(vectors, ["vec_id"], "vec_id", "embedding"))
+    index = p4.Vectors(p4.unit_vectors(vectors, ["vec_id"], "vec_id", "embedding"), k=16, sample=8, few=0.01)
     nodes = materialise(index.graph.nodes(), "nodes")
     asked = index.members.where(F.col("owner_id").cast("bigint") % 100 == 0).join(nodes, "node")
     found = p4.greedy_search(index.graph.lists(), nodes, asked.select(F.col("owner_id").alias("query"), "dim", "vec"))
@@ -71,6 +81,15 @@ def p7_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7.usage(p7_containers(spark, sf_dir))
 
 
+def p7_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: texts packed, containers above it, texts split that would fit, and whether 98 % is filled."""
+    packed = materialise(p7_containers(spark, sf_dir), "packed")
+    sums = packed.groupBy("capacity", "container").agg(F.sum("tokens").alias("tokens")).groupBy("capacity").agg(F.count_if(F.col("tokens") > F.col("capacity")).alias("overfull"), (F.sum("tokens") >= 0.98 * F.count("*") * F.col("capacity")).alias("filled"))
+    docs = packed.groupBy("capacity", "doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("distinct"))
+    texts = docs.groupBy("capacity").agg(F.count("*").alias("texts"), F.count_if((F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity")))) | (F.col("pieces") != F.col("distinct"))).alias("split_in_vain"))
+    return sums.join(texts, "capacity").select("capacity", "texts", "overfull", "split_in_vain", "filled")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -90,8 +109,8 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    p1_found, p1_conversations, p2_found, p2_tags, p2_tag_sequences, p3_found, p3_sanitised, p4_found, p4_search,
-    p7_containers, p7_usage, p8_found, p8_leaked_items, p9_found, p9_composition,
+    p1_found, p1_conversations, p2_found, p2_tags, p2_tag_sequences, p3_found, p3_sanitised, p3_integrity, p4_found, p4_search,
+    p7_containers, p7_usage, p7_integrity, p8_found, p8_leaked_items, p9_found, p9_composition,
 )
 QUERIES = {query.__name__: query for query in _ALL}
 
@@ -126,6 +145,8 @@ SELECT tag AS normalized_tag, count(*) AS occurrences, count(DISTINCT id) AS mem
             WHEN count(DISTINCT id) > 0.05 * (SELECT count(DISTINCT id) FROM processed_memories) THEN 'common' ELSE 'useful' END AS band
 FROM (SELECT id, unnest(tags) AS tag FROM ({_MEMORIES})) GROUP BY tag"""
 ORACLES = {
+    "p3_integrity": f"SELECT count(*) AS messages, 0::BIGINT AS altered FROM ({_KEPT}) WHERE event_key IS NOT NULL",
+    "p7_integrity": "SELECT DISTINCT capacity_tokens AS capacity, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0::BIGINT AS overfull, 0::BIGINT AS split_in_vain, true AS filled FROM token_budgets",
     "p2_found": f"SELECT normalized_tag, band FROM ({_TAGS}) WHERE band <> 'useful'",
     "p2_tags": _TAGS,
     "p2_tag_sequences": f"""
