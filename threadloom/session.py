@@ -93,6 +93,14 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
 
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
-    """A broadcast of ``value``, whose classes travel along; the result, called in a task, gives the value."""
+    """A broadcast of ``value``, whose classes travel along; the result, called in a task, gives the value, which the task
+    unpacks once."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(sent.value)
+    held: list[object] = []
+
+    def value_here() -> object:
+        if not held:
+            held.append(pickle.loads(sent.value))
+        return held[0]
+
+    return value_here
