@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from threadloom.session import materialise, ship
 
-TOKEN = re.compile("[a-z]+|[0-9]+|[\\u3400-\\u9FFF]")
+TOKEN = re.compile("[a-z]+|0|[\\u3400-\\u9FFF]|\\n")
+NUMBER = re.compile("[0-9]+")
 SENTENCE = re.compile("(?<=[.!?;])\\s+|[\\n\\u3002\\uFF01\\uFF1F\\uFF1B]+")
 #: Weights of bigram, word and uniform estimates in the background model.
 WEIGHTS = (0.6, 0.35, 0.05)
@@ -49,35 +50,32 @@ MARGIN = 1.0
 MOST = 2
 
 
-def sentences(text: str) -> list[list[str]]:
-    """Tokens of each sentence; numbers are one token."""
-    out = []
-    for s in SENTENCE.split(text.lower()):
-        tokens = ["0" if t[0].isdigit() else t for t in TOKEN.findall(s)]
-        if tokens:
-            out.append(tokens)
-    return out
+def tokens(text: str) -> list[str]:
+    """The tokens of a text, numbers as one, and a line break between sentences."""
+    return TOKEN.findall(SENTENCE.sub("\n", NUMBER.sub("0", text.lower())))
 
 
 @dataclass
 class Vocabulary:
-    words: dict[str, int]
+    words: dict[str, int]  # from 1 on, and -1 for the break between sentences
     grams: np.ndarray  # codes of bigrams, in order
 
     @property
     def size(self) -> int:
-        return len(self.words) + 1
+        return len(self.words)
 
-    def encode(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Word, previous word, bigram (-1: unknown), sentence and document of every token."""
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, previous word, bigram (-1: unknown) and sentence of every token, and the document of every sentence."""
         get = self.words.get
-        sent = np.array([len(tokens) for parts in texts for tokens in parts], np.int64)
-        w = np.array([get(t, 0) for parts in texts for tokens in parts for t in tokens], np.int64)
-        doc = np.repeat(np.arange(len(texts)), [len(parts) for parts in texts])
-        of = np.repeat(np.arange(len(sent)), sent)
+        ids = np.array([get(t, 0) for parts in texts for t in parts], np.int64)
+        whose = np.repeat(np.arange(len(texts)), [len(parts) for parts in texts])
+        said = ids >= 0
+        w, key = ids[said], (np.cumsum(~said) + whose)[said]  # grows with every sentence and document
+        new = np.ones(len(w), bool)
+        new[1:] = key[1:] != key[:-1]
+        of, doc = np.cumsum(new) - 1, whose[said][new]
         before = np.concatenate([[0], w[:-1]]).astype(np.int64) if len(w) else w
-        if len(w):
-            before[np.cumsum(sent) - sent] = self.size  # the start of a sentence
+        before[new] = self.size  # the start of a sentence
         codes = before * self.size + w
         if not len(self.grams):
             return w, before, np.full(len(w), -1), of, doc
@@ -162,7 +160,7 @@ class Classifier:
     background: Models
     least: tuple[float, float] = (0.25, 0.25)
 
-    def shares(self, texts: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    def shares(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Of each document, the part of its words, and of its words under any subject, that each subject has."""
         k = len(self.subjects)
         word, before, gram, of, doc = self.vocab.encode(texts)
@@ -184,7 +182,7 @@ class Classifier:
         some = mass.sum(axis=1)
         return mass / np.maximum(length, 1)[:, None], mass / np.maximum(some, 1)[:, None]
 
-    def accept(self, texts: list[list[list[str]]]) -> list[list[int]]:
+    def accept(self, texts: list[list[str]]) -> list[list[int]]:
         whole, among = self.shares(texts)
         return [self._chosen(w, a, *self.least) for w, a in zip(whole, among, strict=True)]
 
@@ -208,13 +206,13 @@ FOLDS = 5
 ENCODED = "doc_id bigint, own array<int>, held boolean, tokens string"
 
 
-def _texts(tokens: list[str]) -> list[list[list[str]]]:
-    return [[line.split(" ") for line in text.split("\n")] if text else [] for text in tokens]
+def _texts(lines: list[str]) -> list[list[str]]:
+    return [line.split(" ") if line else [] for line in lines]
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lines = ["\n".join(map(" ".join, sentences(t))) for t in batch.column(3).to_pylist()]
+        lines = [" ".join(tokens(t)) for t in batch.column(3).to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(lines, pa.string())], names=["doc_id", "own", "held", "tokens"])
 
 
@@ -232,8 +230,8 @@ def _packed(rows: DataFrame, work) -> list:
 def vocabulary(labelled: DataFrame) -> Vocabulary:
     """All words and bigrams of the labelled documents."""
     spark = labelled.sparkSession
-    spoken = _packed(labelled, lambda b: {t for parts in _texts(b.column(3).to_pylist()) for tokens in parts for t in tokens})
-    words = {t: i + 1 for i, t in enumerate(sorted(set().union(*spoken)))}
+    spoken = _packed(labelled, lambda b: {t for parts in _texts(b.column(3).to_pylist()) for t in parts})
+    words = {t: i + 1 for i, t in enumerate(sorted(set().union(*spoken) - {"\n"}))} | {"\n": -1}
     sent = ship(spark, Vocabulary(words, np.zeros(0, np.int64)))
 
     def codes(batch: pa.RecordBatch) -> np.ndarray:
@@ -308,7 +306,7 @@ def _background(vocab: Vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Models(vocab, 1)
         for batch in batches:
-            texts = [sentences(t) for t in batch.column(0).to_pylist() if t]
+            texts = [tokens(t) for t in batch.column(0).to_pylist() if t]
             word, before, gram, _, _ = vocab.encode(texts)
             counts.add(counts.counts(np.zeros(len(word), np.int64), word, before, gram))
         for kind, table in enumerate((counts.word, counts.history, counts.gram)):
@@ -352,7 +350,7 @@ def classify(documents: DataFrame, model: Classifier) -> DataFrame:
             docs, found = [], []
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a in range(0, len(ids), 500):
-                for doc, chosen in zip(ids[a : a + 500], judge.accept([sentences(t) if t else [] for t in texts[a : a + 500]]), strict=True):
+                for doc, chosen in zip(ids[a : a + 500], judge.accept([tokens(t) if t else [] for t in texts[a : a + 500]]), strict=True):
                     docs += [doc] * len(chosen)
                     found += [judge.subjects[s] for s in chosen]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "subject": pa.array(found, pa.string())})
