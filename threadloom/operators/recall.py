@@ -102,6 +102,20 @@ def rank_topics(views: DataFrame, topic: str, limit: int = 8) -> DataFrame:
     return ranked.join(top, "project_id").select("project_id", "canonical_id", "topic", "score", "rank", chosen.alias("selected"))
 
 
+def trail_classes(asked: DataFrame, ranked: DataFrame, views: DataFrame, unreliable: DataFrame, disputed: DataFrame) -> DataFrame:
+    """One row a project of ``asked`` (project_id): how reliable the trail of the topic is that ``rank_topics`` selected.
+
+    ``views`` (canonical_id, current_event_id), ``unreliable`` (event_id): those whose evidence does not hold, ``disputed``
+    (canonical_id)."""
+    sums = ranked.groupBy("project_id").agg(F.count("*").alias("topics"), F.max(F.when(F.col("selected"), F.col("canonical_id"))).alias("canonical_id"))
+    trail = sums.join(views.select("canonical_id", F.col("current_event_id").alias("event_id")), "canonical_id", "left")
+    trail = trail.join(unreliable.select("event_id").distinct().withColumn("weak", F.lit(True)), "event_id", "left").join(disputed.select("canonical_id").distinct().withColumn("disputed", F.lit(True)), "canonical_id", "left")
+    known = asked.join(trail, "project_id", "left")
+    named = F.when(F.col("topics").isNull(), "no_reliable_trail").when(F.col("canonical_id").isNull(), "ambiguous_topic").when(F.col("event_id").isNull(), "no_reliable_trail")
+    named = named.when(F.col("weak"), "incomplete_trail").when(F.col("disputed"), "conflicting_trail").otherwise("exact_trail")
+    return known.select("project_id", "canonical_id", F.coalesce("topics", F.lit(0)).alias("topics"), named.alias("classification"))
+
+
 def staleness(views: DataFrame, current_at: DataFrame, now: str, threshold_days: int = 90) -> DataFrame:
     """Per topic the age of its current decision in days, and whether it may be stale: unknown in the future or without a
     readable time, not applicable without a current decision. ``current_at`` (current_event_id, timestamp)."""

@@ -114,6 +114,7 @@ SELECT * EXCLUDE (n) FROM (
   SELECT lower(trim(event_id)) AS event_key, *, row_number() OVER (PARTITION BY lower(trim(event_id))
     ORDER BY CASE WHEN lower(content_hash) = sha256(content) THEN 0 ELSE 1 END, received_at, delivery_id) AS n
   FROM raw_events) WHERE n = 1"""
+#: The detectors of ``functions.sensitivity``, as RE2 reads them.
 _SECRETS = {
     "private_key": "(?i)-----BEGIN (?:RSA |EC |OPENSSH |DSA )?PRIVATE KEY-----",
     "credential_assignment": rf"(?i)\b(?:api[_-]?key|access[_-]?token|auth[_-]?token|password|passwd|secret)\b[{S}]*[:=][{S}]*[\"'']?[^{S}\"'']{{6,}}",

@@ -26,6 +26,7 @@ RELATIONS = [
     ("quantum entanglement", "log sampler", "contextual_equivalent", 0.9, ["physics"]),
 ]
 SINCE, UNTIL = "2025-06-01T00:00:00Z", "2025-12-31T00:00:00Z"
+WHY = "adapter"
 LAYERS = {
     "builtin": {"recall.max_snippets": "8", "recall.max_characters": "12000", "staleness.threshold_days": "90", "embedding.semantic_weight": "0.7"},
     "global": {"recall.max_snippets": "12"},
@@ -190,6 +191,16 @@ def why_rank(spark, sf_dir):
     return recall.rank_topics(_views(spark, sf_dir)[0], "adapter")
 
 
+def why_trail(spark, sf_dir):
+    views, rows = _views(spark, sf_dir)
+    views = materialise(views, "views")
+    refs = rows.join(views.select(F.col("current_event_id").alias("event_id")), "event_id", "left_semi").select(F.col("event_id").alias("owner"), "project_id", F.explode("evidence_refs").alias("source"))
+    described = evidence.descriptors(refs, evidence.sources(table(spark, sf_dir, "raw_events")))
+    unreliable = described.where("status <> 'verified'").select(F.col("owner").alias("event_id"))
+    asked = table(spark, sf_dir, "raw_events").where("project_id IS NOT NULL").select("project_id").distinct()
+    return recall.trail_classes(asked, recall.rank_topics(views, WHY), views, unreliable, decision_views.conflicts(rows))
+
+
 def staleness(spark, sf_dir):
     views, rows = _views(spark, sf_dir)
     return recall.staleness(views, rows.select(F.col("event_id").alias("current_event_id"), "timestamp"), NOW)
@@ -262,7 +273,7 @@ def eval_scores(spark, sf_dir):
 _ALL = (
     effective_state, evidence_status, evidence_assessment, effective_documents, document_frequency, bm25_search, search_time_range, term_expand, search_expanded,
     search_raw, latin_gate, tag_registry, tag_suggest, month_buckets, vector_topk, vector_stale, hybrid_rrf, recall_budget, recall_best_decision, recall_package, recall_candidates,
-    why_rank, staleness, vault_stats, health_capture, health_overall, enrichment_candidates, enrichment_budget, overlay_apply, settings_resolve, doctor_rollup, eval_scores,
+    why_rank, why_trail, staleness, vault_stats, health_capture, health_overall, enrichment_candidates, enrichment_budget, overlay_apply, settings_resolve, doctor_rollup, eval_scores,
 )
 QUERIES = {q.__name__: q for q in _ALL}
 
@@ -377,6 +388,18 @@ SELECT query_id, project_id, event_key, score, confidence, rank FROM (SELECT *,
   SELECT w.query_id, w.project_id, event_key, count(*) AS score, round(least(0.6, count(*) / any_value(wanted)) * CASE WHEN savepoint_status = 'partial' THEN 0.6 ELSE 1 END, 6) AS confidence
   FROM (SELECT e.project_id, event_key, savepoint_status, t.query_id, wanted FROM (SELECT *, {tokens_sql("content")} AS tokens FROM ({archive.EVENTS}) WHERE sensitivity = 'normal') e,
         (SELECT *, count(*) OVER (PARTITION BY query_id) AS wanted FROM ({_OWN})) t WHERE list_contains(e.tokens, t.token)) w GROUP BY w.query_id, w.project_id, event_key, savepoint_status)) WHERE rank <= 8"""
+
+
+def _why(q: str) -> str:
+    """The topics nearest to the one word ``q``."""
+    return f"""
+SELECT project_id, canonical_id, topic, score, rank, rank = 1 AND score >= 60 AND score IS DISTINCT FROM next AS selected FROM (
+  SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next FROM (
+    SELECT project_id, canonical_id, topic, CASE WHEN name = q THEN 100 WHEN starts_with(name, q) OR starts_with(q, name) THEN 60 + overlap WHEN contains(name, q) OR contains(q, name) THEN 40 + overlap ELSE overlap * 10 END AS score
+    FROM (SELECT *, '{q}' AS q, {_topic("topic")} AS name, len(list_intersect(['{q}'], string_split({_topic("topic")}, ' '))) AS overlap FROM ({_PV}))) WHERE score > 0
+  WINDOW o AS (PARTITION BY project_id ORDER BY score DESC, topic, canonical_id)) WHERE rank <= 8"""
+
+
 ORACLES = {
     "effective_state": _STATES,
     "evidence_status": f"SELECT owner AS memory_id, event_key, status FROM ({_DESC})",
@@ -439,12 +462,13 @@ SELECT a.query_id, a.project_id, coalesce(h.n, 0) AS hits,
 FROM (SELECT DISTINCT project_id, q.query_id FROM processed_memories, (VALUES {_VALUES}) q(query_id, query)) a
 LEFT JOIN (SELECT query_id, project_id, max(tier) AS tier, count(*) AS n FROM k GROUP BY ALL) h ON h.query_id = a.query_id AND h.project_id = a.project_id
 LEFT JOIN (SELECT DISTINCT query_id, project_id FROM best WHERE canonical_id IN (SELECT canonical_id FROM ({archive.ORACLES["decision_conflicts"]}))) c ON c.query_id = a.query_id AND c.project_id = a.project_id""",
-    "why_rank": f"""
-SELECT project_id, canonical_id, topic, score, rank, rank = 1 AND score >= 60 AND score IS DISTINCT FROM next AS selected FROM (
-  SELECT *, row_number() OVER o AS rank, lead(score) OVER o AS next FROM (
-    SELECT project_id, canonical_id, topic, CASE WHEN name = q THEN 100 WHEN starts_with(name, q) OR starts_with(q, name) THEN 60 + overlap WHEN contains(name, q) OR contains(q, name) THEN 40 + overlap ELSE overlap * 10 END AS score
-    FROM (SELECT *, 'adapter' AS q, {_topic("topic")} AS name, len(list_intersect(['adapter'], string_split({_topic("topic")}, ' '))) AS overlap FROM ({_PV}))) WHERE score > 0
-  WINDOW o AS (PARTITION BY project_id ORDER BY score DESC, topic, canonical_id)) WHERE rank <= 8""",
+    "why_rank": _why("adapter"),
+    "why_trail": f"""
+WITH r AS ({_why(WHY)}), t AS (SELECT project_id, count(*) AS topics, max(canonical_id) FILTER (selected) AS canonical_id FROM r GROUP BY project_id),
+st AS (SELECT d.event_id, CASE WHEN s.event_key IS NULL OR found_project IS DISTINCT FROM d.project_id OR NOT path_ok OR declared IS DISTINCT FROM computed THEN true ELSE false END AS weak FROM ({DECISIONS}) d LEFT JOIN ({_SOURCES}) s USING (event_key))
+SELECT a.project_id, t.canonical_id, coalesce(topics, 0) AS topics, CASE WHEN topics IS NULL THEN 'no_reliable_trail' WHEN t.canonical_id IS NULL THEN 'ambiguous_topic' WHEN v.current_event_id IS NULL THEN 'no_reliable_trail'
+  WHEN st.weak THEN 'incomplete_trail' WHEN t.canonical_id IN (SELECT canonical_id FROM ({archive.ORACLES["decision_conflicts"]})) THEN 'conflicting_trail' ELSE 'exact_trail' END AS classification
+FROM (SELECT DISTINCT project_id FROM raw_events WHERE project_id IS NOT NULL) a LEFT JOIN t ON t.project_id = a.project_id LEFT JOIN ({VIEWS}) v ON v.canonical_id = t.canonical_id LEFT JOIN st ON st.event_id = v.current_event_id""",
     "staleness": f"""
 SELECT canonical_id, CASE WHEN us >= 0 THEN floor(us / 86400000000)::BIGINT END AS age_days,
        CASE WHEN current_event_id IS NULL THEN 'not_applicable' WHEN us IS NULL OR us < 0 THEN 'unknown' WHEN us >= 90 * 86400000000 THEN 'possibly_stale' ELSE 'fresh' END AS staleness
