@@ -32,12 +32,14 @@ def expand(queries: DataFrame, relations: DataFrame, context: tuple[str, ...] =
     """
     tags = F.array(*map(F.lit, context)) if context else F.array().cast("array<string>")
     applies = (F.col("confidence") >= 0.6) & ((F.size("context_tags") <= 0) | F.arrays_overlap("context_tags", tags))
-    pair = F.array_sort(F.array(term_key(F.col("term_a")), term_key(F.col("term_b"))))
-    live = relations.where(applies).withColumn("pair", pair)
-    vetoed = live.where(F.col("relation_type").isin("ambiguous", "related")).select("pair").distinct()
-    usable = live.join(vetoed, "pair", "left_anti").where(~((F.col("relation_type") == "contextual_equivalent") & (F.size("context_tags") <= 0)))
     norm = lambda c: F.lower(normalize_text(F.col(c)))
-    both = usable.select(norm("term_a").alias("seen"), norm("term_b").alias("term"), "confidence").unionByName(usable.select(norm("term_b").alias("seen"), norm("term_a").alias("term"), "confidence"))
+    pair = F.array_sort(F.array(term_key(F.col("term_a")), term_key(F.col("term_b"))))
+    same = Window.partitionBy("pair")
+    # one pass over the relations: a plan that reads them once for each veto and direction takes the driver's memory
+    live = relations.where(applies).withColumn("pair", pair).withColumn("vetoed", F.coalesce(F.bool_or(F.col("relation_type").isin("ambiguous", "related")).over(same), F.lit(False)))
+    usable = live.where(~F.col("vetoed") & ~((F.col("relation_type") == "contextual_equivalent") & (F.size("context_tags") <= 0)))
+    ways = F.array(F.struct(norm("term_a").alias("seen"), norm("term_b").alias("term")), F.struct(norm("term_b").alias("seen"), norm("term_a").alias("term")))
+    both = usable.select(F.explode(ways).alias("w"), "confidence").select("w.*", "confidence")
     texts = queries.select("query_id", F.explode(F.concat(F.array("query"), lexical_terms(F.col("query")))).alias("text")).select("query_id", term_key(F.col("text")).alias("text"))
     # a term is met as the whole text, or, if it has several words, as words in a row of it: an equality on these
     words = F.split("text", " ")
@@ -55,9 +57,10 @@ def query_terms(queries: DataFrame, expansions: DataFrame | None = None) -> Data
         spelled = F.array("term", F.regexp_replace("term", "-", " "), F.regexp_replace("term", " ", "-"))
         added = expansions.select("query_id", (F.col("confidence") * 0.75).alias("weight"), F.explode(spelled).alias("t")).select("query_id", "weight", F.explode(tokenize(F.col("t"))).alias("token"))
         weights = weights.unionByName(added.withColumn("times", F.lit(0).cast("bigint"))).groupBy("query_id", "token").agg(F.max("times").alias("times"), F.max("weight").alias("weight"))
-    latin = F.col("token").rlike("^[a-z0-9]")
-    totals = own.groupBy("query_id").agg(F.sum("times").alias("total"), F.sum(F.when(latin, F.col("times")).otherwise(0)).alias("latin_total"))
-    return weights.join(totals, "query_id").withColumn("latin", latin)
+    latin = weights.withColumn("latin", F.col("token").rlike("^[a-z0-9]"))
+    whole = Window.partitionBy("query_id")  # added tokens have no times, and a query of none of its own is dropped
+    totals = latin.withColumn("total", F.sum("times").over(whole)).withColumn("latin_total", F.sum(F.when(F.col("latin"), F.col("times")).otherwise(0)).over(whole))
+    return totals.where("query_id IS NOT NULL AND total > 0").select("query_id", "token", "times", "weight", "total", "latin_total", "latin")
 
 
 def search(documents: DataFrame, queries: DataFrame, expansions: DataFrame | None = None, limit: int = 8, since: str | None = None, until: str | None = None, sensitive: bool = False) -> DataFrame:
@@ -75,9 +78,10 @@ def search(documents: DataFrame, queries: DataFrame, expansions: DataFrame | Non
         active = active.where(at <= F.to_timestamp(F.lit(until)))
     terms = query_terms(queries, expansions)
     tokens = terms.select("token").distinct()
-    tokenised = active.select("project_id", "memory_id", F.explode(tokenize(F.lower("text"))).alias("token"))
+    tokenised = active.where("memory_id IS NOT NULL").select("project_id", "memory_id", F.explode(tokenize(F.lower("text"))).alias("token"))
     counts = tokenised.join(tokens, "token").groupBy("project_id", "memory_id", "token").agg(F.count("*").alias("tf"))
-    frequency = counts.groupBy("project_id", "token").agg(F.count("*").alias("df"))
+    # asks for tf, so that both sides of the join below are one exchange and the texts are tokenised once
+    frequency = counts.groupBy("project_id", "token").agg(F.count_if(F.col("tf") > 0).alias("df"))
     totals = active.groupBy("project_id").agg(F.count("*").alias("documents"))
     idf = F.log1p((F.col("documents") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = counts.join(frequency.join(totals, "project_id").select("project_id", "token", idf.alias("idf")), ["project_id", "token"])

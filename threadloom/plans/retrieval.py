@@ -88,7 +88,7 @@ def term_expand(spark, sf_dir):
 
 
 def search_expanded(spark, sf_dir):
-    return _hits(spark, sf_dir, expansions=term_expand(spark, sf_dir)).select(*_HIT, "expanded")
+    return _hits(spark, sf_dir, expansions=materialise(term_expand(spark, sf_dir), "expansions")).select(*_HIT, "expanded")
 
 
 def search_raw(spark, sf_dir):
